@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import additive_model, decision_list, mixing
+from lamina.llm import additive_model, chat, decision_list, mixing, secrets
 from lamina.llm.common import table
 
 
@@ -10,6 +10,14 @@ def op1_quality_classifier(spark, sf_dir):
     return additive_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark, sf_dir):
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return decision_list.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,5 +26,5 @@ def op10_curriculum_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op9_quality_rules, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_secret_scan, op7_chat_format, op9_quality_rules, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
