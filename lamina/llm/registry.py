@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import additive_model, chat, decision_list, mixing, secrets
+from lamina.llm import additive_model, chat, decision_list, mixing, near_dup, secrets
 from lamina.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op7_chat_format(spark, sf_dir):
     return chat.report(table(spark, sf_dir, "conversations"))
 
 
+def op8_near_dup(spark, sf_dir):
+    return near_dup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return decision_list.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,5 +30,5 @@ def op10_curriculum_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_secret_scan, op7_chat_format, op9_quality_rules, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
