@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import additive_model, bpe, chat, decision_list, mixing, near_dup, secrets
+from lamina.llm import additive_model, bpe, chat, decision_list, katz, mixing, near_dup, secrets
 from lamina.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op5_katz_backoff(spark, sf_dir):
+    return katz.report(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -34,5 +38,5 @@ def op10_curriculum_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_byte_bpe, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_byte_bpe, op5_katz_backoff, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
