@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lamina.llm import additive_model, bpe, chat, decision_list, katz, mixing, near_dup, secrets
+from lamina.llm import additive_model, bpe, chat, decision_list, katz, mixing, multi_index, near_dup, secrets, sentence_dedup
 from lamina.llm.common import table
 
 
@@ -10,10 +10,18 @@ def op1_quality_classifier(spark, sf_dir):
     return additive_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sentence_dedup(spark, sf_dir):
+    return sentence_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index(spark, sf_dir):
+    return multi_index.report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_katz_backoff(spark, sf_dir):
     return katz.report(table(spark, sf_dir, "documents"))
 
@@ -38,5 +46,5 @@ def op10_curriculum_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_byte_bpe, op5_katz_backoff, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentence_dedup, op3_byte_bpe, op4_multi_index, op5_katz_backoff, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix)}
 ORACLES: dict[str, str] = {}
