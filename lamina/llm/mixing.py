@@ -18,8 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.llm.common import table
-
 WEIGHTS, LIMIT, SLICES, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 1024, 200_000
 
 
@@ -58,10 +56,14 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(F.greatest(b * b + 4 * slope * share, F.lit(0.0))) - b) / (2 * slope))
 
 
-def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """One row for each row of documents: doc_id, size, source_size, target, taken, position (null if nothing is taken)."""
+def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, whole: bool = False) -> DataFrame:
+    """One row for each row of documents: doc_id, size, source_size, target, taken, position (null if nothing is taken), and what they come from.
+
+    whole: the row itself goes along as a struct _row."""
     spark = documents.sparkSession
-    sized = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", F.col("text")).alias("_h"))
+    row = [F.struct(*documents.columns).alias("_row")] if whole else []
+    kept = ["_row"] if whole else []
+    sized = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", F.col("text")).alias("_h"), *row)
     sized = sized.withColumn("_slice", F.shiftrightunsigned("_h", 54).cast("int"))
     slices = sized.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
     slices = slices.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
@@ -78,7 +80,7 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
     known = F.broadcast(known)
     slices = slices.join(known, slices["source"].eqNullSafe(known["source"])).drop(known["source"])
     joined = sized.alias("d").join(slices.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._slice") == F.col("s._slice")))
-    joined = joined.select("d.doc_id", "d.size", "d._h", "d.source", "d._slice", F.coalesce("s._before", F.lit(0)).alias("_before"), "s.source_size", "s.target", "s._goal", "s._slope")
+    joined = joined.select("d.doc_id", "d.size", "d._h", "d.source", "d._slice", F.coalesce("s._before", F.lit(0)).alias("_before"), "s.source_size", "s.target", "s._goal", "s._slope", *kept)
     inside = Window.partitionBy("source", "_slice").orderBy("_h", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     full, rest = F.expr("_goal div greatest(source_size, 1)"), F.expr("_goal % greatest(source_size, 1)")
@@ -89,7 +91,7 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
     first = F.least(F.col("size"), F.col("taken"))
     share = (F.col("_at") + first / 2) / F.greatest(F.col("_goal"), F.lit(1))
     position = F.when(F.col("taken") > 0, demand_inverse(F.least(share, F.lit(1.0)), F.col("_slope")))
-    return out.withColumn("position", position).select("doc_id", "size", "source_size", "target", "taken", "position", "_h", "_at", "_goal", "_slope")
+    return out.withColumn("position", position).select("doc_id", "size", "source_size", "target", "taken", "position", "_h", "_at", "_goal", "_slope", *kept)
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -97,5 +99,24 @@ def report(documents: DataFrame) -> DataFrame:
     return plan(documents).orderBy(F.col("position").asc_nulls_last(), "_h", "doc_id").drop("_h", "_at", "_goal", "_slope")
 
 
-def query(spark, sf_dir):
-    return report(table(spark, sf_dir, "documents"))
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    """The documents that the mix takes, a row for each time, in order of training; the last of a source may hold only its first words.
+
+    A row's second and third passes stand later in its source's stream, so they have positions of their own."""
+    columns = documents.columns
+    taken = plan(documents, whole=True).where("taken > 0")
+    again = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(taken - 1) div size")))
+    rows = taken.withColumn("_pass", again).withColumn("_words", F.expr("least(size, taken - _pass * size)"))
+    share = (F.col("_pass") * F.col("source_size") + F.col("_at") + F.col("_words") / 2) / F.greatest("_goal", F.lit(1))
+    rows = rows.withColumn("_position", demand_inverse(F.least(share, F.lit(1.0)), F.col("_slope")))
+    text = F.when(F.col("_words") < F.col("size"), first_words(F.col("_row.text"), F.col("_words"))).otherwise(F.col("_row.text"))
+    out = {c: F.col("_row")[c] for c in columns} | {"text": text}
+    if "n_chars" in columns:
+        out["n_chars"] = F.when(F.col("_words") < F.col("size"), F.length(text)).otherwise(F.col("_row.n_chars")).cast(documents.schema["n_chars"].dataType)
+    return rows.orderBy("_position", "_h", "_pass").select(*(out[c].alias(c) for c in columns))
