@@ -4,8 +4,9 @@
 2. Rows with one set are one class, so a thousand copies weigh as much as one text from here on.
 3. Classes that share a band key are candidates.  In each bucket the class with the most company over all its buckets is the pivot,
    and every other member is checked against it alone: as many checks as members.
-4. Where a bucket still holds two components, its other members are compared by signature, block against block, inside tasks; only pairs
-   whose estimate comes near the threshold leave the task for the check on full sets.
+4. Where a bucket still holds two components, its other members are compared inside tasks, block against block: by signature first, then on
+   full sets, and only as long as two members' components differ.  A task gives back the links that join components, fewer than it has
+   members.
 5. Links are contracted to components in tables; a class hands its component to all its rows.
 
 No bucket is cut, no pair is dropped for a size, and no task holds more than two blocks of a bucket.  At a Jaccard similarity equal to the
@@ -29,8 +30,8 @@ from lamina.llm.common import bounded, bounded_broadcast, written
 from lamina.llm.components import contracted
 
 BANDS, ROWS = 25, 5
-#: Members of a bucket that are compared with each other at once; margin below the threshold that an estimate may have.
-BLOCK, MARGIN = 256, 0.15
+#: Members of a bucket and bytes of their sets in a block; margin below the threshold that an estimate from signatures may have.
+BLOCK, BLOCK_BYTES, MARGIN = 4096, 8 << 20, 0.15
 _U64 = np.uint64
 
 
@@ -97,31 +98,57 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def _estimated(open_members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose signatures come near the threshold.
+def _rest(open_members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components which still meet in a bucket: enough of them to join all that belong together.
 
-    A bucket's members lie in blocks; a task gets two blocks at most at a time and compares their signatures in bulk."""
-    rows = open_members.join(sigs, "node").select("key", "node", "label", "sig")
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    A bucket's members lie in blocks of bounded bytes; a task compares two blocks at a time.  A pair is looked at in the first bucket that it
+    shares, if its components differ so far and its signatures come near the threshold, and then on full sets."""
+    rows = open_members.join(sigs, "node").join(sets, "node").select("key", "node", "label", "sig", "keys", "elements")
+    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.sum(F.octet_length("elements")) / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
     rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets every block j >= i: both sides go to the cell (i, j)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = rows.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "sig")
+    cells = rows.withColumn("other", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "sig", "keys", "elements")
     need = BANDS * ROWS * (percent / 100 - MARGIN)
 
     def run(key, group):
-        i, j = key[1].as_py(), key[2].as_py()
+        key, i, j = (k.as_py() for k in key)
         block, node, label = (np.asarray(group.column(c)) for c in ("block", "node", "label"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
+        keys = np.asarray(group.column("keys").combine_chunks().flatten()).reshape(len(node), -1)
+        raw = group.column("elements").to_pylist()
+        sets_: dict[int, frozenset] = {}
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(p, p)
+            return x
+
+        def elements(x: int) -> frozenset:
+            if x not in sets_:
+                sets_[x] = frozenset(np.frombuffer(raw[x], _U64).tolist())
+            return sets_[x]
+
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found_a, found_b = [], []
         for x in left:
             y = right[(label[right] != label[x]) & ((node[right] > node[x]) if i == j else True)]
-            y = y[(sig[y] == sig[x]).sum(1) >= need]
-            found_a.append(np.full(len(y), node[x]))
-            found_b.append(node[y])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_a, found_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            same = (sig[y] == sig[x]).sum(1)
+            y, same = y[same >= need], same[same >= need]
+            shared = keys[y] == keys[x]
+            mine = keys[x][shared.argmax(1)] == key
+            for z in y[mine][np.argsort(-same[mine], kind="stable")]:
+                a, b = root(int(label[x])), root(int(label[z]))
+                if a != b:
+                    s, t = elements(x), elements(z)
+                    both = len(s & t)
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        parent[max(a, b)] = min(a, b)
+                        found_a.append(node[x])
+                        found_b.append(node[z])
+        a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -151,8 +178,8 @@ def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
     open_members = written(labelled.join(open_keys, "key"), "open")
     if open_members.take(1):
-        sigs = rows.join(open_members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
-        more = written(verified(_estimated(open_members, sigs, percent), sets, percent), "links")
+        sigs = rows.join(open_members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+        more = written(_rest(open_members, sigs, sets, percent), "links")
         if more.take(1):
             labels = contracted(links.unionByName(more))
     smallest = nodes.select("node", "doc_id").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("_least"))
