@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,21 +38,24 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cuts the lineage: the rows as a Parquet table in the shared folder, read again.  Lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
+    """Cuts the lineage: the rows as a Parquet table in the shared folder, read again.  Lost executors cost no recomputation.
+
+    rows_per_file: for rows of many MB, so that a reader never holds more of them than that."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lamina/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that no later plan reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later plan reads, and lets Spark clean the shuffle files of finished plans."""
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         if "/lamina/" in path:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def held_out(doc_id: Column, modulus: int) -> Column:

@@ -27,17 +27,31 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamina.llm import arrow_text as at
-from lamina.llm.common import bounded, held_out, written
+from lamina.llm.common import bounded, dropped, held_out, written
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 2 are held out.  Tokens of a block and, on average, of a bucket; counts up to K are discounted.
-FOLDS, BLOCK_TOKENS, BUCKET_TOKENS, K = 7, 3_000_000, 1_500_000, 5
+FOLDS, BLOCK_TOKENS, BUCKET_TOKENS, K = 7, 1_000_000, 1_500_000, 5
+#: Rows of a file of blocks: a reader holds a file's rows at once.
+BLOCKS_PER_FILE = 4
 END = np.uint64(0x454E44)
 BEGIN_ID, UNKNOWN_ID = 0xFFFFFFFE, 0xFFFFFFFF
 _U64 = np.uint64
 
 
 def _bytes(a: np.ndarray, kind) -> bytes:
-    return np.ascontiguousarray(a.astype(kind)).tobytes()
+    """The numbers by byte planes, all lowest bytes first: small numbers leave whole planes of zeros, which compress to nothing."""
+    a = np.ascontiguousarray(a.astype(kind))
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
+
+
+def _numbers(b: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) if b else np.zeros(0, kind)
+
+
+def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
+    """One column of several rows, end to end."""
+    return np.concatenate([np.zeros(0, kind), *(_numbers(r[name], kind) for r in rows)])
 
 
 # --- texts to blocks
@@ -96,11 +110,11 @@ def word_questions(blocks: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                words, codes = np.frombuffer(r["words"], _U64), np.frombuffer(r["codes"], np.uint32)
-                train = np.repeat(np.frombuffer(r["held"], np.uint8) == 0, np.frombuffer(r["lengths"], np.int32))
+                words, codes = _numbers(r["words"], _U64), _numbers(r["codes"], np.uint32)
+                train = np.repeat(_numbers(r["held"], np.uint8) == 0, _numbers(r["lengths"], np.int32))
                 counts = np.bincount(codes[train], minlength=len(words))
                 edges = _bucket_edges(words, buckets)
-                some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+                some = np.flatnonzero(np.diff(edges))
                 yield pa.RecordBatch.from_pydict(
                     {"bucket": pa.array(some, pa.int32()), "block": pa.array([r["block"]] * len(some), pa.int64()), "words": [_bytes(words[edges[b] : edges[b + 1]], _U64) for b in some], "counts": [_bytes(counts[edges[b] : edges[b + 1]], np.uint32) for b in some]}
                 )
@@ -121,9 +135,9 @@ def word_model(questions: DataFrame, buckets: int) -> DataFrame:
     schema = _arrow(WORD_MODEL)
 
     def run(key, group):
-        bucket, parts = key[0].as_py(), [np.frombuffer(w, _U64) for w in group.column("words").to_pylist()]
+        bucket, parts = key[0].as_py(), [_numbers(w, _U64) for w in group.column("words").to_pylist()]
         distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([np.frombuffer(c, np.uint32) for c in group.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
+        counts = np.bincount(inverse, np.concatenate([_numbers(c, np.uint32) for c in group.column("counts").to_pylist()]), len(distinct)).astype(np.int64)
         rank = np.empty(len(distinct), np.int64)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(distinct))
         ids = np.where(counts > 0, rank * buckets + bucket, UNKNOWN_ID)
@@ -183,7 +197,9 @@ def enriched(blocks: DataFrame, model: DataFrame) -> DataFrame:
     def run(left, right):
         rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
         out = left.drop_columns(["words"])
-        return out.append_column("counts", pa.array([b"".join(r["counts"] for r in rows)], pa.binary())).append_column("ids", pa.array([b"".join(r["ids"] for r in rows)], pa.binary()))
+        for name in ("counts", "ids"):
+            out = out.append_column(name, pa.array([_bytes(_joined(rows, name, np.uint32), np.uint32)], pa.binary()))
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "block long, doc_ids array<long>, held binary, lengths binary, codes binary, counts binary, ids binary")
 
@@ -192,16 +208,16 @@ class Pairs:
     """A block's distinct pairs (context id, word id) in the order in which buckets are asked; contexts never seen in training are left out."""
 
     def __init__(self, r: dict, buckets: int):
-        self.lengths = np.frombuffer(r["lengths"], np.int32)
-        codes = np.frombuffer(r["codes"], np.uint32)
-        counts, ids = np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["ids"], np.uint32)
+        self.lengths = _numbers(r["lengths"], np.int32)
+        codes = _numbers(r["codes"], np.uint32)
+        counts, ids = _numbers(r["counts"], np.uint32), _numbers(r["ids"], np.uint32)
         self.count = counts[codes]
         begin = np.cumsum(self.lengths) - self.lengths
         word = ids[codes].astype(_U64)
         context = np.empty(len(codes), _U64)
         context[1:] = word[:-1]
         context[begin] = BEGIN_ID
-        self.train = np.repeat(np.frombuffer(r["held"], np.uint8) == 0, self.lengths)
+        self.train = np.repeat(_numbers(r["held"], np.uint8) == 0, self.lengths)
         self.asked = context != UNKNOWN_ID
         key, self.inverse = np.unique((context << _U64(32) | word)[self.asked], return_inverse=True)
         first, word = key >> _U64(32), key & _U64(0xFFFFFFFF)
@@ -234,16 +250,19 @@ def pair_questions(blocks: DataFrame, buckets: int) -> DataFrame:
             for r in batch.to_pylist():
                 p = Pairs(r, buckets)
                 counts = np.bincount(p.inverse[p.train[p.asked]], minlength=len(p.order))[p.order]
-                for b in range(buckets):
+                out = {name: [] for name in ("contexts", "runs", "words", "counts", "word_counts", "hot")}
+                some = np.flatnonzero(np.diff(p.edges))
+                for b in some:
                     i, j = p.edges[b], p.edges[b + 1]
-                    if i == j:
-                        continue
                     first = p.first[i:j]
                     start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-                    yield pa.RecordBatch.from_pydict(
-                        {"bucket": pa.array([b], pa.int32()), "block": pa.array([r["block"]], pa.int64()), "contexts": [_bytes(first[start], np.uint32)], "runs": [_bytes(np.diff(np.append(start, j - i)), np.uint32)],
-                         "words": [_bytes(p.word[i:j], np.uint32)], "counts": [_bytes(counts[i:j], np.uint32)], "word_counts": [_bytes(p.word_count[i:j], np.uint32)], "hot": [_bytes(p.hot[i:j][start], np.uint8)]}
-                    )
+                    out["contexts"].append(_bytes(first[start], np.uint32))
+                    out["runs"].append(_bytes(np.diff(np.append(start, j - i)), np.uint32))
+                    out["words"].append(_bytes(p.word[i:j], np.uint32))
+                    out["counts"].append(_bytes(counts[i:j], np.uint32))
+                    out["word_counts"].append(_bytes(p.word_count[i:j], np.uint32))
+                    out["hot"].append(_bytes(p.hot[i:j][start], np.uint8))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "block": pa.array([r["block"]] * len(some), pa.int64())} | out)
 
     return blocks.mapInArrow(run, PAIR_QUESTIONS)
 
@@ -251,7 +270,7 @@ def pair_questions(blocks: DataFrame, buckets: int) -> DataFrame:
 SUMS = ["total", *(f"n{r}" for r in range(1, K + 1)), "high", "mass"]
 PAIR_MODEL = (
     "bucket int, contexts binary, runs binary, words binary, counts binary, sums binary, coc array<long>, "
-    f"hot array<struct<context:long,at:int,{','.join(f'{s}:double' for s in SUMS)}>>, answers array<struct<block:long,counts:binary,contexts:binary>>"
+    f"hot array<struct<context:long,at:int,{','.join(f'{s}:double' for s in SUMS)}>>, answers array<struct<block:long,counts:binary,contexts:binary,unseen:binary>>"
 )
 
 
@@ -261,24 +280,28 @@ def pair_model(questions: DataFrame, words: Words) -> DataFrame:
 
     def run(key, group):
         rows = group.to_pylist()
-        contexts = [np.frombuffer(r["contexts"], np.uint32).astype(_U64) for r in rows]
-        pairs = np.concatenate([np.repeat(c, np.frombuffer(r["runs"], np.uint32)) << _U64(32) | np.frombuffer(r["words"], np.uint32) for c, r in zip(contexts, rows, strict=True)])
+        contexts = [_numbers(r["contexts"], np.uint32).astype(_U64) for r in rows]
+        pairs = np.concatenate([np.repeat(c, _numbers(r["runs"], np.uint32)) << _U64(32) | _numbers(r["words"], np.uint32) for c, r in zip(contexts, rows, strict=True)])
         distinct, at_, inverse = np.unique(pairs, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
-        word_counts = np.concatenate([np.frombuffer(r["word_counts"], np.uint32) for r in rows])[at_]
+        counts = np.bincount(inverse, np.concatenate([_numbers(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
+        word_counts = np.concatenate([_numbers(r["word_counts"], np.uint32) for r in rows])[at_]
         first = distinct >> _U64(32)
         start = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
         add = lambda v: np.add.reduceat(v, start).astype(float)
         seen = counts > 0
         sums = np.stack([add(counts), *(add(counts == r) for r in range(1, K + 1)), add(np.where(counts > K, counts, 0)), add(np.where(seen, words.p(word_counts), 0.0))])
         names = first[start]
-        hot = np.unique(np.concatenate([c[np.frombuffer(r["hot"], np.uint8) > 0] for c, r in zip(contexts, rows, strict=True)]))
+        hot = np.unique(np.concatenate([c[_numbers(r["hot"], np.uint8) > 0] for c, r in zip(contexts, rows, strict=True)]))
         places = np.searchsorted(names, hot)
         cuts = np.cumsum([0, *(len(r["words"]) // 4 for r in rows)])
-        answers = [{"block": r["block"], "counts": _bytes(counts[inverse[i:j]], np.uint32), "contexts": _bytes(np.searchsorted(names, c), np.uint32)} for r, c, i, j in zip(rows, contexts, cuts[:-1], cuts[1:], strict=True)]
+        answers = []
+        for r, c, i, j in zip(rows, contexts, cuts[:-1], cuts[1:], strict=True):
+            mine, runs = counts[inverse[i:j]], _numbers(r["runs"], np.uint32).astype(np.int64)
+            unseen = np.logical_or.reduceat(mine == 0, np.cumsum(runs) - runs)
+            answers.append({"block": r["block"], "counts": _bytes(mine, np.uint32), "contexts": _bytes(np.searchsorted(names, c), np.uint32), "unseen": _bytes(unseen, np.uint8)})
         return pa.Table.from_pylist(
             [{"bucket": key[0].as_py(), "contexts": _bytes(names, np.uint32), "runs": _bytes(np.diff(np.append(start, len(distinct))), np.uint32), "words": _bytes(distinct & _U64(0xFFFFFFFF), np.uint32), "counts": _bytes(counts, np.uint32),
-              "sums": _bytes(sums, float), "coc": _counts_of_counts(counts), "hot": [{"context": int(h), "at": int(p)} | {s: float(v) for s, v in zip(SUMS, sums[:, p], strict=True)} for h, p in zip(hot, places, strict=True)], "answers": answers}],
+              "sums": _bytes(sums.ravel(), float), "coc": _counts_of_counts(counts), "hot": [{"context": int(h), "at": int(p)} | {s: float(v) for s, v in zip(SUMS, sums[:, p], strict=True)} for h, p in zip(hot, places, strict=True)], "answers": answers}],
             schema=schema,
         )
 
@@ -296,7 +319,7 @@ def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_answers(model: DataFrame, d: np.ndarray) -> DataFrame:
-    """(bucket, block, counts of the pairs asked, and for each context asked the denominator and log10 alpha)."""
+    """(bucket, block, counts of the pairs asked, and for each context asked the denominator and, where a pair was not seen, log10 alpha)."""
     parts = model.select("bucket", F.explode("hot").alias("h")).select("bucket", "h.*")
     whole = parts.groupBy("context").agg(*(F.sum(s).alias(s) for s in SUMS))
     joined = parts.select("bucket", "context", "at").join(whole, "context").groupBy("bucket").agg(F.collect_list(F.struct("at", *SUMS)).alias("whole"))
@@ -304,13 +327,18 @@ def pair_answers(model: DataFrame, d: np.ndarray) -> DataFrame:
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                sums = np.frombuffer(r["sums"], float).reshape(len(SUMS), -1).copy()
+                sums = _numbers(r["sums"], float).reshape(len(SUMS), -1).copy()
                 for h in r["whole"] or []:
                     sums[:, h["at"]] = [h[s] for s in SUMS]
                 below, alpha = backoff(sums, d)
+                out = {"counts": [], "below": [], "alpha": []}
                 for a in r["answers"]:
-                    at_ = np.frombuffer(a["contexts"], np.uint32)
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([r["bucket"]], pa.int32()), "block": pa.array([a["block"]], pa.int64()), "counts": [a["counts"]], "below": [_bytes(below[at_], float)], "alpha": [_bytes(alpha[at_], float)]})
+                    at_ = _numbers(a["contexts"], np.uint32)
+                    out["counts"].append(a["counts"])
+                    out["below"].append(_bytes(below[at_], float))
+                    out["alpha"].append(_bytes(np.where(_numbers(a["unseen"], np.uint8) > 0, alpha[at_], 0.0), float))
+                names = [a["block"] for a in r["answers"]]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([r["bucket"]] * len(names), pa.int32()), "block": pa.array(names, pa.int64())} | out)
 
     return model.select("bucket", "sums", "answers").join(joined, "bucket", "left").select("bucket", "sums", "answers", "whole").mapInArrow(run, "bucket int, block long, counts binary, below binary, alpha binary")
 
@@ -325,8 +353,7 @@ def scores(blocks: DataFrame, answers: DataFrame, words: Words, d: np.ndarray, b
         r = left.to_pylist()[0]
         p = Pairs(r, buckets)
         rows = sorted(right.to_pylist(), key=lambda a: a["bucket"])
-        join = lambda name, kind: np.frombuffer(b"".join(a[name] for a in rows), kind)
-        counts, below, alpha = join("counts", np.uint32).astype(np.int64), join("below", float), join("alpha", float)
+        counts, below, alpha = _joined(rows, "counts", np.uint32).astype(np.int64), _joined(rows, "below", float), _joined(rows, "alpha", float)
         # below and alpha stand for each context of each bucket; spread them over its run of words
         new = np.ones(len(p.order), bool)
         new[1:] = p.first[1:] != p.first[:-1]
@@ -344,7 +371,7 @@ def scores(blocks: DataFrame, answers: DataFrame, words: Words, d: np.ndarray, b
         add = lambda v: np.add.reduceat(v, start)
         n = len(p.lengths)
         return pa.table(
-            {"doc_id": pa.array(r["doc_ids"], pa.int64()), "held_out": np.frombuffer(r["held"], np.uint8) > 0, "n_tokens": p.lengths.astype(np.int64), "n_known": add((p.count > 0).astype(np.int64)), "train_tokens": np.full(n, words.tokens, np.int64), "base_score": add(base), "score": add(token)}
+            {"doc_id": pa.array(r["doc_ids"], pa.int64()), "held_out": _numbers(r["held"], np.uint8) > 0, "n_tokens": p.lengths.astype(np.int64), "n_known": add((p.count > 0).astype(np.int64)), "train_tokens": np.full(n, words.tokens, np.int64), "base_score": add(base), "score": add(token)}
         )
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES)
@@ -352,15 +379,18 @@ def scores(blocks: DataFrame, answers: DataFrame, words: Words, d: np.ndarray, b
 
 def report(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = written(coded(documents), "blocks")
+    spark = documents.sparkSession
+    blocks = written(coded(documents), "blocks", BLOCKS_PER_FILE)
     n = blocks.select(F.sum(F.octet_length("codes") / 4)).first()[0] or 0
     buckets = max(8, math.ceil(n / BUCKET_TOKENS))
-    unigrams = written(word_model(word_questions(blocks, buckets), buckets), "words")
+    unigrams = written(word_model(word_questions(blocks, buckets), buckets), "words", BLOCKS_PER_FILE)
     add = [F.sum(F.col("coc")[r]) for r in range(K + 1)]
     known, tokens, *coc = (int(x or 0) for x in unigrams.select(F.sum("known"), F.sum("tokens"), *add).first())
     words = Words(known, tokens, coc)
-    full = written(enriched(blocks, unigrams), "blocks")
-    bigrams = written(pair_model(pair_questions(full, buckets), words), "pairs")
+    full = written(enriched(blocks, unigrams), "blocks", BLOCKS_PER_FILE)
+    dropped(spark, blocks, unigrams)
+    bigrams = written(pair_model(pair_questions(full, buckets), words), "pairs", BLOCKS_PER_FILE)
+    dropped(spark)
     d = discounts([int(x or 0) for x in bigrams.select(*add).first()])
     d[0] = 1.0
     return scores(full, pair_answers(bigrams, d), words, d, buckets)
