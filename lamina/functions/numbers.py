@@ -29,7 +29,8 @@ def modulo(a: Column, b: Column) -> Column:
 
 def format_number(c: Column, picture: str, decimal: str = ".", grouping: str = ",", nan: str = "NaN", infinity: str = "Infinity") -> Column:
     """A number by a picture such as #,##0.00; ties go to even."""
-    out = F.format_number(F.abs(c), picture.replace(grouping, "\u0001").replace(decimal, ".").replace("\u0001", ","))
+    plain = picture.replace(grouping, "\u0001").replace(decimal, ".").replace("\u0001", ",")
+    out = F.call_function("format_number", F.abs(c), F.lit(plain))
     if (decimal, grouping) != (".", ","):
         out = F.translate(out, ".,", decimal + grouping)
     out = F.when(F.isnan(c), nan).when(F.abs(c) == float("inf"), infinity).otherwise(out)
