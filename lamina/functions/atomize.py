@@ -58,10 +58,13 @@ def double_text(c: Column) -> Column:
     """A double as the query language prints it: plain between 1e-6 and 1e6, else with an exponent; INF, -INF, NaN."""
     size = F.abs(c)
     plain = decimal_text(c.cast("decimal(38,18)"))
-    text = F.regexp_replace(c.cast("string"), r"\.0E", ".0E")
+    # seven digits before the point are still plain in Spark's text: the point moves by six places
+    digits = F.regexp_replace(F.replace(F.abs(c).cast("string"), F.lit(".")), "0+$", "")
+    rest = F.substring(digits, 2, 40)
+    moved = F.concat(F.when(c < 0, "-").otherwise(""), F.substring(digits, 1, 1), F.lit("."), F.when(rest == "", "0").otherwise(rest), F.lit("E6"))
     return (
         F.when(F.isnan(c), "NaN").when(c == float("inf"), "INF").when(c == float("-inf"), "-INF")
-        .when(c == 0, "0").when((size >= 1e-6) & (size < 1e6), plain).otherwise(F.regexp_replace(text, r"^(-?\d+)E", "$1.0E"))
+        .when(c == 0, "0").when((size >= 1e-6) & (size < 1e6), plain).when((size >= 1e6) & (size < 1e7), moved).otherwise(c.cast("string"))
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.functions.atomize import double_text
+
 
 def parse(c: Column, schema: str) -> Column:
     """Text to a typed value; text that is no JSON gives empty."""
@@ -32,4 +34,4 @@ def canonical_number(lexical: Column) -> Column:
     size = F.abs(n)
     plain = F.regexp_replace(F.regexp_replace(n.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     zero = F.when(F.trim(lexical).startswith("-"), "-0").otherwise("0")
-    return F.when(n == 0, zero).when((size >= 1e-6) & (size < 1e6), plain).otherwise(n.cast("string"))
+    return F.when(n == 0, zero).when((size >= 1e-6) & (size < 1e6), plain).otherwise(double_text(n))

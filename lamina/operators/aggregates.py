@@ -30,8 +30,8 @@ def greatest_number(c: Column) -> Column:
 
 def string_join(c: Column, order: Column | str, separator: str = "") -> Column:
     """The items as text in order, with a separator between them; of none ''."""
-    pairs = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(F.col(order) if isinstance(order, str) else order, c.cast("string").alias("v")))))
-    return F.array_join(F.transform(pairs, lambda p: p["v"]), separator)
+    pairs = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct((F.col(order) if isinstance(order, str) else order).alias("_at"), c.cast("string").alias("_text")))))
+    return F.array_join(F.transform(pairs, lambda p: p["_text"]), separator)
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:

@@ -67,7 +67,7 @@ def xml(spark: SparkSession, uri: str | list[str], row_tag: str, schema: T.Struc
         reader = reader.option("rowValidationXSDPath", xsd)
     for k, v in options.items():
         reader = reader.option(k, v)
-    return (reader.schema(schema) if schema else reader).load(",".join(uri) if isinstance(uri, list) else uri)
+    return (reader.schema(schema) if schema else reader).load(uri)
 
 
 def parse_xml(c: Column, schema: str, **options: str) -> Column:
