@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: At most so many rows or bytes reach a Python worker at once, whatever the session had.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: A side of a join is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 500_000
 
@@ -58,6 +61,15 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed() -> None:
+    """Gives a worker's freed memory back to the system at the end of a task, for workers live on and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def held_out(doc_id: Column, modulus: int) -> Column:
     """True for the rows that no model learns from: crc32(doc_id as text) mod modulus is 2.  A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == 2, F.lit(False))

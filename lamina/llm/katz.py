@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lamina.llm import arrow_text as at
-from lamina.llm.common import bounded, dropped, held_out, written
+from lamina.llm.common import bounded, dropped, held_out, trimmed, written
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 2 are held out.  Tokens of a block and, on average, of a bucket; counts up to K are discounted.
 FOLDS, BLOCK_TOKENS, BUCKET_TOKENS, K = 7, 1_000_000, 1_500_000, 5
@@ -39,14 +39,19 @@ _U64 = np.uint64
 
 
 def _bytes(a: np.ndarray, kind) -> bytes:
-    """The numbers by byte planes, all lowest bytes first: small numbers leave whole planes of zeros, which compress to nothing."""
+    """The numbers by byte planes, all lowest bytes first, compressed: small numbers leave whole planes of zeros."""
     a = np.ascontiguousarray(a.astype(kind))
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b""
+    if not len(a):
+        return b""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _numbers(b: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) if b else np.zeros(0, kind)
+    if not b:
+        return np.zeros(0, kind)
+    planes = pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
@@ -56,11 +61,13 @@ def _joined(rows: list[dict], name: str, kind) -> np.ndarray:
 
 # --- texts to blocks
 
-BLOCKS = "block long, doc_ids array<long>, held binary, lengths binary, codes binary, words binary"
+BLOCKS = "block long, tokens long, doc_ids array<long>, held binary, lengths binary, codes binary, words binary"
 
 
 def coded(documents: DataFrame) -> DataFrame:
-    """Blocks of whole documents: each document's number of tokens, its tokens as codes, and the block's words as sorted 64-bit hashes."""
+    """Blocks of whole documents: each document's number of tokens, its tokens as codes, and the block's words as 64-bit hashes by code.
+
+    Codes go by frequency, so most are small."""
     bounded(documents.sparkSession)
 
     def run(batches):
@@ -76,6 +83,7 @@ def coded(documents: DataFrame) -> DataFrame:
                 n, held, size = n + 1, [], 0
         if held:
             yield _block((part << 24) + n, held)
+        trimmed()
 
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), FOLDS).alias("held"))
     return rows.mapInArrow(run, BLOCKS)
@@ -90,9 +98,13 @@ def _block(name: int, parts: list[tuple]) -> pa.RecordBatch:
     inner = np.ones(len(stream), bool)
     inner[ends] = False
     stream[inner] = words
-    distinct, codes = np.unique(stream, return_inverse=True)
+    distinct, codes, often = np.unique(stream, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    distinct, codes = distinct[order], rank[codes]
     return pa.RecordBatch.from_pydict(
-        {"block": pa.array([name], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "held": [_bytes(held, np.uint8)], "lengths": [_bytes(lengths, np.int32)], "codes": [_bytes(codes, np.uint32)], "words": [_bytes(distinct, _U64)]}
+        {"block": pa.array([name], pa.int64()), "tokens": pa.array([len(stream)], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "held": [_bytes(held, np.uint8)], "lengths": [_bytes(lengths, np.int32)], "codes": [_bytes(codes, np.uint32)], "words": [_bytes(distinct, _U64)]}
     )
 
 
@@ -112,7 +124,8 @@ def word_questions(blocks: DataFrame, buckets: int) -> DataFrame:
             for r in batch.to_pylist():
                 words, codes = _numbers(r["words"], _U64), _numbers(r["codes"], np.uint32)
                 train = np.repeat(_numbers(r["held"], np.uint8) == 0, _numbers(r["lengths"], np.int32))
-                counts = np.bincount(codes[train], minlength=len(words))
+                order = np.argsort(words)
+                counts, words = np.bincount(codes[train], minlength=len(words))[order], words[order]
                 edges = _bucket_edges(words, buckets)
                 some = np.flatnonzero(np.diff(edges))
                 yield pa.RecordBatch.from_pydict(
@@ -196,9 +209,12 @@ def enriched(blocks: DataFrame, model: DataFrame) -> DataFrame:
 
     def run(left, right):
         rows = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-        out = left.drop_columns(["words"])
+        out = left.drop_columns(["words", "tokens"])
+        order = np.argsort(_numbers(left.column("words")[0].as_py(), _U64))
         for name in ("counts", "ids"):
-            out = out.append_column(name, pa.array([_bytes(_joined(rows, name, np.uint32), np.uint32)], pa.binary()))
+            by_code = np.empty(len(order), np.uint32)
+            by_code[order] = _joined(rows, name, np.uint32)
+            out = out.append_column(name, pa.array([_bytes(by_code, np.uint32)], pa.binary()))
         return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "block long, doc_ids array<long>, held binary, lengths binary, codes binary, counts binary, ids binary")
@@ -293,7 +309,7 @@ def pair_model(questions: DataFrame, words: Words) -> DataFrame:
         names = first[start]
         hot = np.unique(np.concatenate([c[_numbers(r["hot"], np.uint8) > 0] for c, r in zip(contexts, rows, strict=True)]))
         places = np.searchsorted(names, hot)
-        cuts = np.cumsum([0, *(len(r["words"]) // 4 for r in rows)])
+        cuts = np.cumsum([0, *(int(_numbers(r["runs"], np.uint32).sum()) for r in rows)])
         answers = []
         for r, c, i, j in zip(rows, contexts, cuts[:-1], cuts[1:], strict=True):
             mine, runs = counts[inverse[i:j]], _numbers(r["runs"], np.uint32).astype(np.int64)
@@ -381,7 +397,7 @@ def report(documents: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     blocks = written(coded(documents), "blocks", BLOCKS_PER_FILE)
-    n = blocks.select(F.sum(F.octet_length("codes") / 4)).first()[0] or 0
+    n = blocks.select(F.sum("tokens")).first()[0] or 0
     buckets = max(8, math.ceil(n / BUCKET_TOKENS))
     unigrams = written(word_model(word_questions(blocks, buckets), buckets), "words", BLOCKS_PER_FILE)
     add = [F.sum(F.col("coc")[r]) for r in range(K + 1)]
