@@ -55,7 +55,7 @@ def fit(x: np.ndarray, longest: float, rotations: int = ROTATIONS, seed: int = 5
     rng = np.random.default_rng(seed)
     full = np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))])
     mean = full.mean(0)
-    _, _, vt = np.linalg.svd(full - mean, full_matrices=True)
+    _, _, vt = np.linalg.svd(full - mean, full_matrices=False)
     width = max(SUBSTRING, full.shape[1] // SUBSTRING * SUBSTRING)
     # fewer dimensions than bits: random directions give the rest
     axes = vt[:width].T if len(vt) >= width else np.column_stack([vt.T, rng.normal(size=(full.shape[1], width - len(vt)))])
