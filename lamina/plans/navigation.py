@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.functions import values as V
 from lamina.operators import nodes as X
 from lamina.operators import sets as U
 from lamina.plans.registry import Tables, query
@@ -176,3 +177,30 @@ def xml_file_source(t: Tables) -> DataFrame:
     path = f"{base.rstrip('/')}/lamina-xml-{t.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     sinks.write(rows, path, sinks.Output("xml"), "nation", "nations")
     return readers.xml(t.spark, path, "nation", "_key long, name string")
+
+
+@query("""select n_regionkey::bigint as doc_id, 'nation' as what, count(*)::bigint as n from nation group by 1 union all select n_regionkey, 'any', count(*) from (select n_regionkey from nation union all select n_regionkey from nation join supplier on s_nationkey = n_nationkey) group by 1""")
+def path_patterns(t: Tables) -> DataFrame:
+    """Elements by path glob: /region/nation, and anything two steps or more below region that is not a nation's text."""
+    paths = X.node_path(_nodes(t)).withColumn("path", F.regexp_replace("path", r"\[\d+\]", ""))
+    a = paths.where(V.path_matches(F.col("path"), "/region/nation")).groupBy("doc_id").agg(F.lit("nation").alias("what"), F.count(F.lit(1)).alias("n"))
+    b = paths.where(V.path_matches(F.col("path"), "/region/*/**/*")).groupBy("doc_id").agg(F.lit("any").alias("what"), F.count(F.lit(1)).alias("n"))
+    return a.unionByName(b)
+
+
+@query("""select a.n_nationkey::bigint as a, count(b.n_nationkey)::bigint as before from nation a left join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey < a.n_nationkey group by 1""")
+def node_order(t: Tables) -> DataFrame:
+    """How many nations of its document stand before each, by comparing nodes."""
+    n = _nodes(t)
+    keys = n.where("kind = 'attribute' and name = 'key'").select("doc_id", F.col("parent_pre").alias("pre"), F.col("value").cast("long").alias("key"))
+    nations = _elements(n, "nation").select("doc_id", "pre").join(keys, ["doc_id", "pre"])
+    a, b = nations.alias("a"), nations.alias("b")
+    test = (F.col("a.doc_id") == F.col("b.doc_id")) & V.precedes(F.col("b.doc_id"), F.col("b.pre"), F.col("a.doc_id"), F.col("a.pre"))
+    return a.join(b, test, "left").groupBy(F.col("a.key").alias("a")).agg(F.count("b.key").alias("before"))
+
+
+@query("""select 1::bigint as doc_id, 'element' as kind, 2::bigint as n union all select 1, 'text', 1 union all select 2, 'element', 2 union all select 2, 'text', 1""")
+def strip_space_nodes(t: Tables) -> DataFrame:
+    """White-space text goes, except below a preserving element."""
+    docs = t.spark.createDataFrame([(1, "<a>  <b>x</b>\n</a>"), (2, "<a> <pre> </pre></a>")], "doc_id long, xml string")
+    return readers.strip_space(X.nodes(docs), ("pre",)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))

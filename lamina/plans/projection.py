@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lamina.functions import collections as C
 from lamina.functions import json as J
+from lamina.functions import values as V
 from lamina.functions.atomize import concat, ebv, general_compare, general_equal, text
 from lamina.functions.numbers import integer_divide, modulo
 from lamina.functions.udf import Functions, WordsTemplate, evaluate, sql_function
@@ -168,3 +169,27 @@ def pipeline_chaining(t: Tables) -> DataFrame:
         return df.where("region <> 'ASIA'").withColumn("n", F.length("name").cast("long"))
 
     return t.nation.transform(first).transform(second)
+
+
+@query("""select o_orderkey, 'order ' || o_orderkey || ' {' || o_orderstatus || '}' as label from orders""")
+def avt_template(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", V.template(t.orders, "order {o_orderkey} {{{o_orderstatus}}}").alias("label"))
+
+
+@query("""select p_partkey, p_size::bigint as p_size, p_name, (p_size between 1 and 50) as fits from part""")
+def coerce_types(t: Tables) -> DataFrame:
+    rows = V.context_item(t.part.withColumn("p_size", F.col("p_size").cast("string")), "required", "p_partkey long, p_size long, p_name string")
+    return rows.withColumn("fits", V.treat_as(F.col("p_size"), F.col("p_size") > 0, "a size").between(1, 50))
+
+
+@query("""select conv_id, n = 1 as one, n <= 1 as at_most, true as some from (select conv_id, count(*) filter (where role = 'system') as n from conversations group by 1)""")
+def instance_of_type(t: Tables) -> DataFrame:
+    rows = t.conversations.groupBy("conv_id").agg(F.collect_list(F.when(F.col("role") == "system", F.col("text"))).alias("x"), F.collect_list("role").alias("r"))
+    return rows.select("conv_id", V.instance_of(rows, "x", "string").alias("one"), V.instance_of(rows, "x", "string", "?").alias("at_most"), V.instance_of(rows, "r", "string", "+").alias("some"))
+
+
+@query("""select n_nationkey, 'NATION_' || n_nationkey as local, (n_regionkey = 1) as same from nation""")
+def qname_functions(t: Tables) -> DataFrame:
+    a = V.qname(F.col("n_regionkey").cast("string"), F.concat(F.lit("a:"), F.col("n_name")))
+    b = V.qname(F.lit("1"), F.concat(F.lit("b:"), F.col("n_name")))
+    return t.nation.select("n_nationkey", a["local"].alias("local"), V.qname_equal(a, b).alias("same"))

@@ -76,3 +76,23 @@ def ext_event_time_windows(t: Tables) -> DataFrame:
     """Extension: daily windows of event time."""
     rows = t.events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("""select event_id, p::bigint as pos from (select *, row_number() over (partition by user_id order by ts, event_id) as p from events) where p between 2 and 4""")
+def stream_subsequence(t: Tables) -> DataFrame:
+    """A slice of each user's events while they stream: the state is a position."""
+
+    def step(state, row):
+        at = state[0] + 1
+        return (at,), ([{"event_id": row.event_id, "pos": at}] if 2 <= at <= 4 else [])
+
+    out = Z.folded(_events(t).select("event_id", "ts", "user_id"), "user_id", ["ts", "event_id"], step, (0,), "at long", "event_id long, pos long")
+    return Z.run_now(out)
+
+
+@query("""select event_type, n, n > 1000 as many from (select event_type, count(*)::bigint as n from events group by 1)""")
+def stream_branch_gate(t: Tables) -> DataFrame:
+    """A condition that does not depend on the stream is decided once, before it starts."""
+    source = _events(t) if t.spark.range(1).count() == 1 else _events(t).limit(0)
+    counted = Z.run_now(Z.watchers(source, F.count(F.lit(1)).alias("n"), within=["event_type"]), "complete")
+    return counted.withColumn("many", F.col("n") > 1000)

@@ -1,6 +1,9 @@
 """Scalar functions, sources, sinks and stream plans on small inputs."""
 
+import re
+
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,7 +12,9 @@ from lamina.functions import collections as C
 from lamina.functions import dates as D
 from lamina.functions import numbers as N
 from lamina.functions import strings as S
+from lamina.functions import values
 from lamina.functions.udf import Functions
+from lamina.operators import messages
 from lamina.sources import readers, sinks
 from lamina.streaming.plan import AnalysisError, Plan, classify, streamable
 
@@ -154,3 +159,31 @@ def test_stream_plans():
         classify(["iterate"], keyed=False)
     with pytest.raises(AnalysisError):
         classify(["teleport"], keyed=True)
+
+
+def test_templates_and_types(spark):
+    df = spark.createDataFrame([(1, None, [1, 2]), (2, "b", [])], "i int, s string, a array<int>")
+    assert [r[0] for r in df.select(values.template(df, "{i}:{s}|{a}{{}}")).collect()] == ["1:|1 2{}", "2:b|{}"]
+    assert [r[0] for r in df.select(values.instance_of(df, "a", "int", "*")).collect()] == [True, True]
+    assert [r[0] for r in df.select(values.instance_of(df, "a", "string", "*")).collect()] == [False, True]
+    assert [r[0] for r in df.select(values.instance_of(df, "s", "string")).collect()] == [False, True]
+    with pytest.raises(PySparkException):
+        values.coerced(df.select("i", "s"), "i int, s int").collect()
+    with pytest.raises(ValueError):
+        values.context_item(None, "required")
+    with pytest.raises(PySparkException):
+        df.select(values.treat_as(F.col("i"), F.col("i") < 2, "small")).collect()
+    numbers = [r[0] for r in spark.range(1000).select(values.random_number(7, F.col("id"))).collect()]
+    assert numbers == [r[0] for r in spark.range(1000).repartition(5).orderBy("id").select(values.random_number(7, F.col("id"))).collect()]
+    assert 0.45 < sum(numbers) / 1000 < 0.55
+
+
+@pytest.mark.parametrize(("pattern", "path", "want"), [("a/b", "/x/a/b", True), ("/a/b", "/x/a/b", False), ("/a/*", "/a/c", True), ("/a/**/d", "/a/b/c/d", True), ("/a/**/d", "/a/d", True), ("a/@x", "/r/a/@x", True), ("/a/*", "/a/@x", False)])
+def test_path_patterns(pattern, path, want):
+    assert bool(re.search(values.path_pattern(pattern), path)) is want
+
+
+def test_messages(spark):
+    df, seen = messages.observed(spark.range(10), n=F.count(F.lit(1)), top=F.max("id"))
+    df.collect()
+    assert messages.report(seen) == {"n": 10, "top": 9}
