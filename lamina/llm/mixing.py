@@ -15,10 +15,13 @@ Null texts have size 0 and take nothing; a null source is a source of its own, l
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEIGHTS, LIMIT, SLICES, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 1024, 200_000
+#: SLICE_DIGITS: leading hex digits of a row's hash that name its slice, 4096 for each source.
+WEIGHTS, LIMIT, SLICE_DIGITS, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 3, 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -56,6 +59,11 @@ def demand_inverse(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise((F.sqrt(F.greatest(b * b + 4 * slope * share, F.lit(0.0))) - b) / (2 * slope))
 
 
+def order_hash() -> Column:
+    """A row's place in its source's stream: a hash of id and text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+
+
 def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, whole: bool = False) -> DataFrame:
     """One row for each row of documents: doc_id, size, source_size, target, taken, position (null if nothing is taken), and what they come from.
 
@@ -63,8 +71,8 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
     spark = documents.sparkSession
     row = [F.struct(*documents.columns).alias("_row")] if whole else []
     kept = ["_row"] if whole else []
-    sized = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", F.col("text")).alias("_h"), *row)
-    sized = sized.withColumn("_slice", F.shiftrightunsigned("_h", 54).cast("int"))
+    sized = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_hash().alias("_h"), *row)
+    sized = sized.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
     slices = sized.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
     slices = slices.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
     totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -74,7 +82,7 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
     order = sorted(by_source, key=lambda s: (s is None, s or ""))
     held = {r["source"]: int(r["n"]) for r in totals}
     known = spark.createDataFrame(
-        [(s, held[s], by_source[s], int(round(by_source[s])), a) for s, a in zip(order, slopes(len(order)), strict=True)],
+        [(s, held[s], by_source[s], math.floor(by_source[s] + 0.5), a) for s, a in zip(order, slopes(len(order)), strict=True)],
         "source string, source_size long, target double, _goal long, _slope double",
     )
     known = F.broadcast(known)
@@ -96,7 +104,8 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int
 
 def report(documents: DataFrame) -> DataFrame:
     """The plan, range-sorted by training position."""
-    return plan(documents).orderBy(F.col("position").asc_nulls_last(), "_h", "doc_id").drop("_h", "_at", "_goal", "_slope")
+    out = plan(documents).withColumns({"target": F.round("target", 6), "position": F.round("position", 9)})
+    return out.orderBy(F.col("position").asc_nulls_last(), "_h", "doc_id").drop("_h", "_at", "_goal", "_slope")
 
 
 def first_words(text: Column, n: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from lamina.llm import additive_model, bpe, chat, decision_list, katz, mixing, multi_index, near_dup, secrets, sentence_dedup
 from lamina.llm.common import table
+from lamina.llm.oracles import ORACLES
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -52,4 +53,4 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentence_dedup, op3_byte_bpe, op4_multi_index, op5_katz_backoff, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix, pipeline)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
