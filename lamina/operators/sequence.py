@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 Order = list[Column | str]
 
-#: Ranges that a whole table is split into for positions.
-RANGES = 64
+#: Ranges that a whole table is split into for positions, and how many values find their bounds.
+RANGES, SAMPLE = 64, 4096
 
 
 def _columns(order: Order) -> list[Column]:
@@ -33,20 +33,23 @@ def last(within: list[str] | None = None) -> Column:
     return F.count(F.lit(1)).over(Window.partitionBy(*(within or []))).cast("long")
 
 
+def _cuts(df: DataFrame, key: Column) -> list:
+    """At most RANGES - 1 values that split the key's range about evenly, from a bounded sample of the rows of smallest hashes."""
+    sample = df.select(key.alias("k")).where(F.col("k").isNotNull()).orderBy(F.xxhash64("k")).limit(SAMPLE).collect()
+    found = sorted({r.k for r in sample if r.k == r.k})
+    step = max(1, len(found) // RANGES)
+    return found[step::step][: RANGES - 1]
+
+
 def with_position(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "pos") -> DataFrame:
-    """df with the position of each item from 1.  ``order``: columns, ascending, nulls first; the first should be numeric or a time."""
+    """df with the position of each item from 1.  ``order``: columns, ascending, nulls first; the first should tell most rows apart."""
     if within:
         return df.withColumn(name, position(order, within))
-    first = order[0]
-    kind = df.schema[first].dataType
-    key = F.unix_micros(first) if isinstance(kind, T.TimestampType) else F.col(first)
-    if not isinstance(kind, (T.NumericType, T.TimestampType)):
-        return df.withColumn(name, position(order))
-    cuts = df.select(F.percentile_approx(key.cast("double"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
+    kind = df.schema[order[0]].dataType
+    key = F.unix_micros(order[0]) if isinstance(kind, T.TimestampType) else F.col(order[0])
     edge = F.lit(0)
-    for c in cuts:
-        edge = edge + (key.cast("double") > F.lit(c)).cast("int")
+    for c in _cuts(df, key):
+        edge = edge + (key > F.lit(c)).cast("int")
     ranged = df.withColumn("_range", F.coalesce(edge, F.lit(-1)))
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     # at most RANGES + 1 rows

@@ -360,7 +360,7 @@ def sort_multi_key(t: Tables) -> DataFrame:
 @query("""select p_name, row_number() over (order by p_name)::bigint as pos from (select distinct p_name from part)""")
 def sort_codepoint(t: Tables) -> DataFrame:
     names = t.part.select("p_name").distinct()
-    return names.withColumn("pos", S.position(["p_name"])).orderBy("pos")
+    return S.with_position(names, ["p_name"]).orderBy("pos")
 
 
 @query("""select event_id from events order by try_cast(json_extract_string(props, '$.k') as double) asc nulls first, event_id limit 40""")
