@@ -29,7 +29,7 @@ SAMPLE, ROTATIONS, SUBSTRING, ITERATIONS = 8192, 2, 16, 30
 #: Rows of the index in a block, queries in a chunk, queries compared at once.
 BLOCK_ROWS, CHUNK_QUERIES, STEP = 8192, 16384, 64
 #: Share of the rows within a query's radius, and how many at least; bits added for the sample's error.
-SHARE, LEAST, SLACK = 0.06, 200, 1
+SHARE, LEAST, SLACK = 0.08, 200, 1
 
 
 @dataclass
@@ -87,15 +87,24 @@ class Index:
         self.codes, self.m = codes, codes.shape[1]
         self.values, self.place = zip(*(np.unique(codes[:, s], return_inverse=True) for s in range(self.m)), strict=True)
 
-    def within(self, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of every code within its query's radius."""
-        near = np.zeros((len(queries), len(self.codes)), bool)
+    def near(self, queries: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """True for each query (row) and code (column) within the query's radius."""
+        found = np.zeros((len(queries), len(self.codes)), bool)
         for s in range(self.m):
             limit = radius // self.m - (s > radius % self.m)
-            near |= self._probe(s, queries[:, s], limit)[:, self.place[s]]
-        q, row = np.nonzero(near)
-        close = _distance(queries[q], self.codes[row]) <= radius[q]
-        return q[close], row[close]
+            found |= self._probe(s, queries[:, s], limit)[:, self.place[s]]
+        if found.mean() > 0.2:  # so many that looking them up one by one costs more than all distances
+            far = np.zeros(found.shape, np.uint16)
+            for s in range(self.m):
+                far += np.bitwise_count(queries[:, s, None] ^ self.codes[None, :, s])
+            return found & (far <= radius[:, None])
+        q, row = np.nonzero(found)
+        found[q, row] = _distance(queries[q], self.codes[row]) <= radius[q]
+        return found
+
+    def within(self, queries: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of every code within its query's radius."""
+        return np.nonzero(self.near(queries, radius))
 
     def _probe(self, s: int, wanted: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Which of the table's values lie within each query's limit."""
@@ -153,16 +162,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHA
                 index, q_codes = Index(codes.words(x)), codes.words(q, query=True)
                 radius = np.full(len(q), 16 * index.m, np.int32) if everywhere else radii(q_codes, sample_codes, share)
                 for at in range(0, len(q), STEP):
-                    i, j = index.within(q_codes[at : at + STEP], radius[at : at + STEP])
-                    i = i + at
-                    other = ids[j] != q_ids[i]
-                    i, j = i[other], j[other]
-                    score = np.einsum("ij,ij->i", q[i], x[j])
+                    part, part_ids = q[at : at + STEP], q_ids[at : at + STEP]
+                    found = index.near(q_codes[at : at + STEP], radius[at : at + STEP]) & (part_ids[:, None] != ids[None, :])
+                    rough = np.where(found, part @ x.T, -np.inf)
+                    least = np.partition(rough, -k, axis=1)[:, -k, None] if len(ids) > k else np.full((len(part), 1), -np.inf)
+                    i, j = np.nonzero(found & (rough >= least - 1e-9 * (1 + np.abs(least))))
+                    score = np.einsum("ij,ij->i", part[i], x[j])
                     best = np.lexsort((j, -score, i))
                     i, j, score = i[best], j[best], score[best]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    top = place < k
-                    out.append(pa.table({"query_id": q_ids[i[top]], "vec_id": ids[j[top]], "score": score[top]}))
+                    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    out.append(pa.table({"query_id": part_ids[i[top]], "vec_id": ids[j[top]], "score": score[top]}))
             return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
         cells = rows.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(run, "query_id long, vec_id long, score double")
