@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from lamina.llm import arrow_text as at
 from lamina.llm import labelled
 from lamina.llm.common import bounded, held_out
-from lamina.llm.text_stats import statistics
+from lamina.llm.text_stats import fresh, statistics
 
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, L2 = 32, 8, 120, 40, 6, 0.1, 5.0
 #: A text with at least this score is predicted to have label 1.
@@ -137,8 +137,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 def scored(docs: DataFrame, model: AdditiveModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with the probability of label 1 as its last column.  Narrow; the model, a few KB, travels with the task."""
+    """docs with the probability of label 1 as its last column, with underscores before its name where docs has it.
+
+    Narrow; the model, a few KB, travels with the task."""
     bounded(docs.sparkSession)
+    name = fresh(docs, name)
 
     def run(batches):
         for batch in batches:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 from dataclasses import dataclass, field
 
 import duckdb
@@ -27,18 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lamina.llm import arrow_text as at
-from lamina.llm.common import bounded
+from lamina.llm.common import bounded, trimmed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces that one query contracts at once; pieces that each of the cache's two generations holds.
-CHUNK, GENERATION = 50_000, 150_000
+#: Pieces that one query contracts at once; pieces that each of the cache's two generations holds; pieces kept from task to task.
+CHUNK, GENERATION, KEPT = 40_000, 120_000, 40_000
 #: The recursive query holds about half of a piece's squared length over its rounds: so many such units a query, and longer pieces elsewhere.
 CHUNK_UNITS, LONG = 20_000_000, 1024
 
-# One row for each piece and round; a pair's value packs its rank above its position, so the least is the leftmost of least rank.
+# One row for each piece and round; a pair's value packs its rank above its position, so the least is the leftmost of least rank.  A rank is the
+# id of the merged token.
 ENCODE = """
 with recursive contracted(w, ids, live) as (
-    select w, list(id order by pos), true from bytes_of group by w
+    select w, ids, true from bytes_of
     union all
     select c.w,
            case when b.best is null then c.ids
@@ -52,10 +54,15 @@ with recursive contracted(w, ids, live) as (
         group by w
     ) b on b.w = c.w
     where c.live
+), done as (select w, ids from contracted where not live),
+decoded as (
+    select t.w, array_to_string(list(v.hex order by t.pos), '') as hex
+    from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as pos from done) t join vocabulary v on v.id = t.id
+    group by t.w
 )
-select w, ids from contracted where not live order by w
+select d.w, array_to_string(d.ids, ',') as ids, decode(unhex(c.hex)) as text from done d join decoded c on c.w = d.w
 """
-DECODE = "select w, unhex(string_agg(v.hex, '' order by t.pos)) as bytes from tokens_of t join vocabulary v on v.id = t.id group by w order by w"
+DECODE = "select w, unhex(array_to_string(list(v.hex order by t.pos), '')) as bytes from tokens_of t join vocabulary v on v.id = t.id group by w order by w"
 
 
 def vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -70,14 +77,15 @@ class Codec:
     """One worker's DuckDB with the merge table and the vocabulary, and the cache of pieces."""
 
     tokens: list[bytes]
-    new: dict = field(default_factory=dict)
-    old: dict = field(default_factory=dict)
+    #: By piece: (ids as text, decoded text); and those of the generation before.
+    known: dict[str, tuple[str, str]] = field(default_factory=dict)
+    old: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.rank = {t: i for i, t in enumerate(self.tokens)}
         pairs = [(i, self.rank[t[:k]], self.rank[t[k:]]) for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         rank, left, right = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         merges = pa.table({"pair": left * 1048576 + right, "rank": rank.astype(np.int32)})  # noqa: F841  read by name
         words = pa.table({"id": pa.array(np.arange(len(self.tokens), dtype=np.int32)), "hex": [t.hex() for t in self.tokens]})
         self.con.register("_merges", merges)
@@ -93,13 +101,16 @@ class Codec:
         finally:
             self.con.unregister(name)
 
-    def contracted(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece, by the recursive query."""
-        lengths = np.array([len(p) for p in pieces])
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        pos = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": self.bytes[data]})
-        return self._run("bytes_of", rows, ENCODE).column("ids").to_pylist()
+    def contracted(self, pieces: list[bytes]) -> list[tuple[str, str]]:
+        """Ids of each piece as text, and what they decode to, by the recursive query."""
+        offsets = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        rows = pa.table({"w": np.arange(len(pieces), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))})
+        out = self._run("bytes_of", rows, ENCODE)
+        found: list = [None] * len(pieces)
+        for w, ids, text in zip(out.column("w").to_pylist(), out.column("ids").to_pylist(), out.column("text").to_pylist(), strict=True):
+            found[w] = (ids, text)
+        return found
 
     def decoded(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each sequence of ids, by the ordered aggregate."""
@@ -133,40 +144,46 @@ class Codec:
         return [self.rank[t] for t, a in zip(part, alive, strict=True) if a]
 
     def learned(self, pieces: list[str]) -> None:
-        """Adds pieces to the cache: (ids as text, ids as bytes, decoded bytes)."""
-        part: list[tuple[str, bytes]] = []
+        """Adds pieces to the cache: (ids as text, decoded text)."""
+        part: list[str] = []
+        raws: list[bytes] = []
         units = 0
-        for p in sorted(pieces, key=len):
+        for p in pieces:
             raw = p.encode()
-            part.append((p, raw))
-            units += min(len(raw), LONG) ** 2
-            if len(part) == CHUNK or units > CHUNK_UNITS:
-                self._learned(part)
-                part, units = [], 0
+            if (r := self.rank.get(raw)) is not None:
+                self.known[p] = (str(r), p)
+            elif len(raw) > LONG:
+                ids = self.contracted_long(raw)
+                self.known[p] = (",".join(map(str, ids)), self.decoded([ids])[0].decode())
+            else:
+                part.append(p)
+                raws.append(raw)
+                units += len(raw) ** 2
+                if len(part) == CHUNK or units > CHUNK_UNITS:
+                    self._learned(part, raws)
+                    part, raws, units = [], [], 0
         if part:
-            self._learned(part)
-
-    def _learned(self, part: list[tuple[str, bytes]]) -> None:
-        ids: list = [[r] if (r := self.rank.get(raw)) is not None else self.contracted_long(raw) if len(raw) > LONG else None for _, raw in part]
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(rest, self.contracted([part[i][1] for i in rest]) if rest else [], strict=True):
-            ids[i] = x
-        for (p, _), x, b in zip(part, ids, self.decoded(ids), strict=True):
-            self.new[p] = (",".join(map(str, x)), np.array(x, np.int32).tobytes(), b)
-
-    def table(self, pieces: set[str]) -> dict[str, tuple[str, bytes, bytes]]:
-        """What the cache and the queries know of each of the pieces."""
-        if len(self.new) > GENERATION:
-            self.old, self.new = self.new, {}
+            self._learned(part, raws)
+
+    def _learned(self, part: list[str], raws: list[bytes]) -> None:
+        for p, (ids, text) in zip(part, self.contracted(raws), strict=True):
+            self.known[p] = (ids, p if text == p else text)  # one object for equal texts
+
+    def know(self, pieces: set[str]) -> None:
+        """Makes ``known`` hold all of the pieces, from the cache or by the queries."""
+        if len(self.known) > GENERATION:
+            self.old, self.known = self.known, {}
         missing = []
-        for p in pieces:
-            if p not in self.new:
-                if (v := self.old.get(p)) is not None:
-                    self.new[p] = v
-                else:
-                    missing.append(p)
+        for p in pieces.difference(self.known):
+            if (v := self.old.get(p)) is not None:
+                self.known[p] = v
+            else:
+                missing.append(p)
         self.learned(missing)
-        return self.new
+
+    def rest(self) -> None:
+        """Between tasks only the pieces seen first stay, among them the frequent ones, for other operators need a worker's memory too."""
+        self.known, self.old = dict(itertools.islice(self.known.items(), KEPT)), {}
 
 
 _CODECS: dict[bytes, Codec] = {}
@@ -183,15 +200,18 @@ def codec(tokens: list[bytes]) -> Codec:
 
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 #: Characters of texts whose pieces are held at once.
-SPAN = 2_000_000
+SPAN = 2_500_000
 
 
 def encoded(docs: DataFrame, tokens: list[bytes] | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """docs without the text but with n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids themselves as array<int>."""
+    """docs without the text but with n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids themselves as array<int>.
+
+    Columns of docs with these names give way to the new ones."""
     spark: SparkSession = bounded(docs.sparkSession)
     shared = spark.sparkContext.broadcast(tokens or vocabulary())
-    rest = [f for f in docs.schema.fields if f.name != text_col]
     ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] if with_ids else []
+    new = {text_col.lower(), *(f.name for f in (*DIGESTS.fields, *ids_field))}
+    rest = [f for f in docs.schema.fields if f.name.lower() not in new]
     schema = T.StructType([*rest, *DIGESTS.fields, *ids_field])
 
     def run(batches):
@@ -204,26 +224,29 @@ def encoded(docs: DataFrame, tokens: list[bytes] | None = None, pattern: str = p
                 stop = max(at_ + 1, int(np.searchsorted(sizes, (sizes[at_ - 1] if at_ else 0) + SPAN)))
                 yield _encoded(batch.slice(at_, stop - at_), texts.slice(at_, stop - at_), own, find, [f.name for f in rest], with_ids, schema.names)
                 at_ = stop
+        own.rest()
+        trimmed()
 
     return docs.mapInArrow(run, schema)
 
 
 def _encoded(batch: pa.RecordBatch, texts: pa.Array, own: Codec, find, rest: list[str], with_ids: bool, names: list[str]) -> pa.RecordBatch:
     pieces = [find(t) for t in texts.to_pylist()]
-    known = own.table(set().union(*pieces))
+    own.know(set().union(*pieces))
+    known = own.known.__getitem__
     n, ids_sha, decoded_sha, packed = [], [], [], []
     for of in pieces:
-        found = [known[p] for p in of]
+        found = list(map(known, of))
         text = ",".join([f[0] for f in found])
         n.append(text.count(",") + 1 if text else 0)
         ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
-        decoded_sha.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+        decoded_sha.append(hashlib.sha256("".join([f[1] for f in found]).encode()).hexdigest())
         if with_ids:
-            packed.append(b"".join([f[1] for f in found]))
+            packed.append(np.array(text.split(","), np.int32) if text else np.zeros(0, np.int32))
     columns = [*(batch.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
     if with_ids:
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *packed]))))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 

@@ -134,7 +134,7 @@ def formatted(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """Parts of the formatted conversations: conv_id, part (from 0), formatted, loss_spans.  Parts of a conversation follow each other in one partition."""
     bounded(conversations.sparkSession)
     compiled(template, FILTERS)  # errors show here, not in a task
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):

@@ -51,12 +51,17 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that no later plan reads, and lets Spark clean the shuffle files of finished plans."""
+def deleted(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that no later plan reads."""
     for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         if "/lamina/" in path:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables, and lets Spark clean the shuffle files of finished plans."""
+    deleted(spark, *tables)
     gc.collect()
     spark._jvm.System.gc()
 

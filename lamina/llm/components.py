@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import written
+from lamina.llm.common import deleted, written
 
 
 def contracted(links: DataFrame, name: str = "links") -> DataFrame:
     """links: (a, b) as longs.  Returns (node, label) for every linked node; nodes of one component, and no others, share the label."""
+    spark = links.sparkSession
     edges = written(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     labels = None
     while edges.take(1):
@@ -21,11 +22,17 @@ def contracted(links: DataFrame, name: str = "links") -> DataFrame:
         # a node's parent may have a parent: look up twice, which keeps rounds few
         up = parent.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
         step = written(parent.join(up, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label")), name)
-        labels = step if labels is None else _renamed(labels, "label", step)
-        labels = written(labels, name)
+        last = edges
         edges = _renamed(_renamed(edges, "a", step), "b", step).where("a != b")
         edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    return links.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
+        if labels is None:
+            labels = step
+            deleted(spark, last)
+        else:
+            old, labels = labels, written(_renamed(labels, "label", step), name)
+            deleted(spark, last, old, step)
+    deleted(spark, edges)
+    return spark.createDataFrame([], "node long, label long") if labels is None else labels
 
 
 def _renamed(df: DataFrame, col: str, by: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def coded(documents: DataFrame) -> DataFrame:
             yield _block((part << 24) + n, held)
         trimmed()
 
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), FOLDS).alias("held"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), FOLDS).alias("held"))
     return rows.mapInArrow(run, BLOCKS)
 
 

@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from lamina.llm import arrow_text as at
 from lamina.llm import superminhash
-from lamina.llm.common import bounded, bounded_broadcast, written
+from lamina.llm.common import bounded, bounded_broadcast, deleted, dropped, trimmed, written
 from lamina.llm.components import contracted
+from lamina.llm.text_stats import fresh
 
 BANDS, ROWS = 25, 5
 #: Members of a bucket and bytes of their sets in a block; margin below the threshold that an estimate from signatures may have.
@@ -60,8 +61,9 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(size), pa.array(_name(elements, offsets).view(np.int64), mask=~some), lists, pa.array([r.tobytes() for r in short], pa.binary())],
                 names=["doc_id", "n_shingles", "node", "keys", "sig"],
             )
+        trimmed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -72,6 +74,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             elements, offsets = at.shingle_sets(at.column(batch, "text"), k)
             right = np.flatnonzero(_name(elements, offsets).view(np.int64) == np.asarray(batch.column("node")))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(right)), pa.array([elements[offsets[i] : offsets[i + 1]].tobytes() for i in right], pa.binary())], names=["node", "elements"])
+        trimmed()
 
     wanted = bounded_broadcast(nodes, nodes.count())
     found = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
@@ -155,6 +158,7 @@ def _rest(open_members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
 
 def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, node, component_id (the smallest doc_id reachable)."""
+    spark = documents.sparkSession
     rows = written(signed(documents, k), "signatures")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     exploded = nodes.select("node", F.explode("keys").alias("key"))
@@ -164,11 +168,11 @@ def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     company = members.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = members.join(company, "node").select("key", "node", F.struct("company", "node").alias("rank"))
     pivots = ranked.groupBy("key").agg(F.max("rank")["node"].alias("pivot"))
-    members = written(members.join(pivots, "key").select("key", "node", "pivot"), "members")
+    unranked, members = members, written(members.join(pivots, "key").select("key", "node", "pivot"), "members")
     wanted = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
     sets = written(full_sets(documents, wanted, k), "sets")
     stars = members.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = written(verified(stars, sets, percent), "links")
+    links = linked = written(verified(stars, sets, percent), "links")
     # rows that share a doc_id are one document
     same = rows.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b")
     links = links.unionByName(same.select("a", F.explode("all").alias("b")))
@@ -181,7 +185,10 @@ def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
         sigs = rows.join(open_members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
         more = written(_rest(open_members, sigs, sets, percent), "links")
         if more.take(1):
+            deleted(spark, labels)
             labels = contracted(links.unionByName(more))
+        deleted(spark, more)
+    dropped(spark, unranked, members, sets, linked, open_members)
     smallest = nodes.select("node", "doc_id").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("_least"))
     grouped = labels.join(smallest, "label").select("node", "_least")
     alone = nodes.select("node", F.col("doc_id").alias("_own"))
@@ -204,4 +211,5 @@ def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     if not repeats.take(1):
         return stays
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns))
-    return stays.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*documents.columns)
+    name = fresh(documents, "_first")
+    return stays.withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).select(*documents.columns)

@@ -17,9 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.llm import arrow_text as at
 from lamina.llm.common import bounded, written
+from lamina.llm.text_stats import fresh
 
 SPAN_WORDS, LONE_WORDS = 20, 50
 _ENDS = re.compile(r"[.!?]+[^\S\n]+|\s*\n\s*")
@@ -83,21 +85,24 @@ def spanned(docs: DataFrame) -> DataFrame:
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(start << 32 | stop)], names=["key", "doc_id", "row", "place"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, "key long, doc_id long, row long, place long")
+    return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInArrow(run, "key long, doc_id long, row long, place long")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """documents with their columns, text without its repeated spans, and n_sentences, n_removed as the last two columns."""
+    """documents with their columns, text without its repeated spans, and n_sentences, n_removed as the last two columns.
+
+    Where documents have columns of these names, the new ones get underscores before theirs."""
     names = documents.columns
-    docs = documents.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = written(spanned(docs.select("doc_id", F.col("_row").alias("row"), "text")), "spans")
+    row, gone_name, n_name, r_name = (fresh(documents, c) for c in ("_row", "_gone", "n_sentences", "n_removed"))
+    docs = documents.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = written(spanned(docs.select(F.col("doc_id").cast("long"), F.col(row).alias("row"), "text")), "spans")
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "row", "place")).alias("first"), F.max(F.struct("doc_id", "row", "place")).alias("last")).where("first != last").select("key", "first")
     repeats = found.join(first, "key").where(~F.struct("doc_id", "row", "place").eqNullSafe(F.col("first")))
-    gone = repeats.groupBy("row").agg(F.collect_set("place").alias("_gone"))
+    gone = repeats.groupBy(F.col("row").alias(row)).agg(F.collect_set("place").alias(gone_name))
 
     def run(batches):
         for batch in batches:
-            texts, gone = batch.column("text"), batch.column("_gone").to_pylist()
+            texts, gone = batch.column("text"), batch.column(gone_name).to_pylist()
             out, n, removed = texts.to_pylist(), [], []
             for i, t in enumerate(out):
                 parts = sentences(t or "")
@@ -111,11 +116,11 @@ def deduplicated(documents: DataFrame) -> DataFrame:
                 if removed[-1]:
                     out[i] = "".join(s for s, x in zip(parts, inside, strict=True) if not x)
             columns = [pa.array(out, pa.string()) if name == "text" else batch.column(name) for name in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*names, n_name, r_name])
 
-    joined = docs.join(gone, docs["_row"] == gone["row"], "left").select(*names, "_gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, n_sentences long, n_removed long")
+    joined = docs.join(gone, row, "left").select(*names, gone_name)
+    counts = [T.StructField(n_name, T.LongType()), T.StructField(r_name, T.LongType())]
+    return joined.mapInArrow(run, T.StructType([*documents.schema.fields, *counts]))
 
 
 def report(documents: DataFrame) -> DataFrame:

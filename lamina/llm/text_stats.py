@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lamina.llm import arrow_text as at
-from lamina.llm.common import bounded
+from lamina.llm.common import bounded, trimmed
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SHARES = ("log_words", "symbol_share", "bang_share", "upper_share", "digit_share", "dup_line_share", "repeat_share", "type_share", "mean_word", "punct_share", "same_share", "bar_share", "words_per_line")
@@ -123,5 +123,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "_stats
         for batch in batches:
             stats = struct_of(statistics(at.column(batch, text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, name])
+        trimmed()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, STRUCT, False)]))

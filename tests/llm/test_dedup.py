@@ -72,8 +72,8 @@ def test_odd_documents(spark, odd, none):
     assert [by_id[i].component_id for i in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 4]
     assert by_id[None].component_id == 6 and not by_id[None].kept
     assert near_dup.report(none).count() == 0
-    kept = near_dup.one_of_each(odd.withColumn("node", F.lit(1)))
-    assert kept.columns == [*odd.columns, "node"]
+    kept = near_dup.one_of_each(odd.withColumn("node", F.lit(1)).withColumn("_first", F.lit(2)))
+    assert kept.columns == [*odd.columns, "node", "_first"] and {r._first for r in kept.collect()} == {2}
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 7, 8, 9]
     assert near_dup.one_of_each(none).count() == 0
 
@@ -165,8 +165,8 @@ def test_planted_passage_goes_from_all_but_the_first(spark):
 
 
 def test_sentence_dedup_of_odd_rows(odd, none):
-    out = sentence_dedup.deduplicated(odd.withColumn("n_sentence", F.lit(1)).withColumn("key", F.lit("k")))
+    out = sentence_dedup.deduplicated(odd.withColumn("n_sentences", F.lit(1)).withColumn("row", F.lit("k")).withColumn("_Gone", F.lit(0)))
     rows = out.collect()
-    assert len(rows) == len(ODD) and out.columns[-2:] == ["n_sentences", "n_removed"]
+    assert len(rows) == len(ODD) and out.columns == [*odd.columns, "n_sentences", "row", "_Gone", "_n_sentences", "n_removed"]
     assert [r.text for r in rows if r.doc_id == 1] == [None]
     assert sentence_dedup.report(none).count() == 0

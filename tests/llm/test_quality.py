@@ -92,6 +92,8 @@ def test_odd_rows(odd, none, labels, no_labels):
             assert len(scored) == n
             assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in scored)
             assert decision_list.report(documents, marks).count() == n
+    again = additive_model.scored(odd.withColumn("Score", F.lit(5)), additive_model.fit(*labelled.sample(odd, no_labels)))
+    assert again.columns == [*odd.columns, "Score", "_score"] and {r._score for r in again.collect()} == {0.5}
     kept = decision_list.filtered(odd.withColumn("_stats", F.lit(1)).withColumn("Kept", F.lit("x")).withColumn("rule", F.lit(2)), no_labels)
     assert kept.columns == [*odd.columns, "_stats", "Kept", "rule"]
     assert {r.doc_id for r in kept.collect()} == {6, None, 9} - ({9} if base(ODD[-1][1])[0] < 10 else set())

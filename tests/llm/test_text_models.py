@@ -38,7 +38,8 @@ def test_bpe_is_the_library(small, reference):
 
 
 def test_bpe_of_odd_texts_and_back(odd, none, reference):
-    out = bpe.encoded(odd)
+    out = bpe.encoded(odd.withColumn("n_tokens", F.lit("old")).withColumn("Ids", F.lit(0)).withColumn("x", F.lit(1)))
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "x", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     back = bpe.decoded(out)
     for r in back.collect():
         want = next((t for i, t, *_ in ODD if i == r.doc_id), None) or ""
