@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lamina.session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,7 +26,7 @@ def query(oracle: str | None = None) -> Callable:
     """Registers a function of Tables under its name, with its SQL twin if it has one."""
 
     def keep(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(ship(spark), folder))
         if oracle:
             ORACLES[f.__name__] = oracle
         return f

@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python this package, once for each application, through Spark's own file server."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        archive = f"{tempfile.mkdtemp(prefix='lamina-')}/{root.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
+
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """UTC time, adaptive execution and Arrow transfer; conf overrides."""
@@ -20,4 +39,4 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     }
     for k, v in {**settings, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
