@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import ship
+
 #: At most so many rows or bytes reach a Python worker at once, whatever the session had.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: A side of a join is broadcast only when it was counted and has no more rows than this.
@@ -19,14 +21,14 @@ BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches of the session by rows and by bytes, so that very long texts cannot fill a worker."""
+    """Bounds Arrow batches of the session by rows and by bytes, so that very long texts cannot fill a worker, and ships the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+    return ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
