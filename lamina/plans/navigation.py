@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import values as V
+from lamina.operators import joins as J
 from lamina.operators import nodes as X
 from lamina.operators import sets as U
 from lamina.plans.registry import Tables, query
@@ -169,12 +171,17 @@ def xinclude_expand(t: Tables) -> DataFrame:
     return readers.include(t.spark, docs, parts)
 
 
+def _place(t: Tables, kind: str) -> str:
+    """A new name in the shared folder."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-out-")
+    return f"{base.rstrip('/')}/lamina-{kind}-{uuid.uuid4().hex}"
+
+
 @query("""select n_nationkey::bigint as "_key", n_name as name from nation""")
 def xml_file_source(t: Tables) -> DataFrame:
     """Rows written as an XML file in the shared folder and read by row tag; attributes are _columns."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-xml-")
     rows = t.nation.select(F.col("n_nationkey").alias("_key"), F.col("n_name").alias("name"))
-    path = f"{base.rstrip('/')}/lamina-xml-{t.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    path = _place(t, "xml")
     sinks.write(rows, path, sinks.Output("xml"), "nation", "nations")
     return readers.xml(t.spark, path, "nation", "_key long, name string")
 
@@ -204,3 +211,77 @@ def strip_space_nodes(t: Tables) -> DataFrame:
     """White-space text goes, except below a preserving element."""
     docs = t.spark.createDataFrame([(1, "<a>  <b>x</b>\n</a>"), (2, "<a> <pre> </pre></a>")], "doc_id long, xml string")
     return readers.strip_space(X.nodes(docs), ("pre",)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select n_nationkey as key, n_name as name, r_name as region from nation join region on n_regionkey = r_regionkey""")
+def json_file_source(t: Tables) -> DataFrame:
+    """Nested records to JSON files and back."""
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("key"), F.struct(F.col("n_name").alias("name"), F.col("r_name").alias("region")).alias("of"))
+    path = _place(t, "json")
+    sinks.write(rows, path, sinks.Output("json"))
+    return readers.Sources(t.spark).json(path, "key int, of struct<name:string,region:string>").select("key", "of.*")
+
+
+@query("""select n_nationkey as key, n_name as name from nation""")
+def csv_file_source(t: Tables) -> DataFrame:
+    path = _place(t, "csv")
+    sinks.write(t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), path, sinks.Output("csv"))
+    return readers.Sources(t.spark).csv(path, "key int, name string")
+
+
+@query("""select n_nationkey || '|' || n_name as line from nation""")
+def text_lines_source(t: Tables) -> DataFrame:
+    """unparsed-text-lines over what the text method wrote."""
+    path = _place(t, "text")
+    sinks.write(t.nation.select("n_nationkey", "n_name"), path, sinks.Output("text", item_separator="|"))
+    return readers.Sources(t.spark).lines(path)
+
+
+@query("""select 0 as document, n_nationkey::bigint as "_key" from nation where n_regionkey = 1 union all select 1, n_nationkey from nation where n_regionkey = 0""")
+def collection_source(t: Tables) -> DataFrame:
+    """A registered collection of two documents, in the order of registration."""
+    sources = readers.Sources(t.spark)
+    paths = []
+    for region in (1, 0):
+        path = _place(t, f"part{region}")
+        rows = t.nation.where(F.col("n_regionkey") == region).select(F.col("n_nationkey").alias("_key"), F.col("n_name").alias("name")).coalesce(1)
+        sinks.write(rows, path, sinks.Output("xml"), "nation", "nations")
+        paths.append(path)
+    sources.register_collection("nations", paths)
+    return sources.collection("nations", "nation", "_key long, name string").select(F.col("_document").alias("document"), "_key")
+
+
+@query("""select true as there, false as missing""")
+def document_available(t: Tables) -> DataFrame:
+    sources = readers.Sources(t.spark)
+    found = sources.available(f"{t.folder}/nation.parquet"), sources.available(f"{t.folder}/no-such-table.parquet")
+    return t.spark.range(1).select(F.lit(found[0]).alias("there"), F.lit(found[1]).alias("missing"))
+
+
+@query("""select 1 as id, 5 as n, false as bad union all select 2, null, true""")
+def xml_lax_validation(t: Tables) -> DataFrame:
+    """Lax validation keeps a row that does not fit its declared type, marked; strict would fail."""
+    rows = t.spark.createDataFrame([(1, "<r><n>5</n></r>"), (2, "<r><n>five</n></r>")], "id int, xml string")
+    parsed = readers.parse_xml(F.col("xml"), "n int, _corrupt_record string", mode="PERMISSIVE")
+    return rows.select("id", parsed.alias("r")).select("id", F.col("r.n").alias("n"), F.col("r._corrupt_record").isNotNull().alias("bad"))
+
+
+@query("""select string_agg(r_name, ' / ' order by r_regionkey) as output from region""")
+def item_separator(t: Tables) -> DataFrame:
+    return sinks.item_joined(t.region, "r_name", ["r_regionkey"], " / ")
+
+
+@query("""select s_suppkey as key, n_name as nation from supplier join nation on s_nationkey = n_nationkey""")
+def id_lookup(t: Tables) -> DataFrame:
+    """id(): nodes by their identifier, here suppliers' nations by nation id."""
+    by_id = J.Key(t.nation.select("n_nationkey", "n_name"), (F.col("n_nationkey"),))
+    return J.key_lookup(t.supplier.select("s_suppkey", "s_nationkey"), by_id, (F.col("s_nationkey"),)).select(F.col("s_suppkey").alias("key"), F.col("n_name").alias("nation"))
+
+
+@query("""select r_regionkey::bigint as doc_id, 'd' || r_regionkey || 'n0' as id, count(*)::bigint as children from region join nation on n_regionkey = r_regionkey group by 1, 2""")
+def node_functions(t: Tables) -> DataFrame:
+    """generate-id, has-children and the name of each document's root."""
+    n = _nodes(t)
+    roots = n.where("parent_pre is null")
+    kids = X.axis(roots, n, "child").groupBy("doc_id").agg(F.count(F.lit(1)).alias("children"))
+    return roots.join(kids, "doc_id").select("doc_id", X.generate_id(F.col("doc_id"), F.col("pre")).alias("id"), "children")

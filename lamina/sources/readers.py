@@ -34,10 +34,9 @@ class Sources:
         """The rows of all registered documents, with ``_document`` as the place in the order of registration."""
         paths = self.collections[uri]
         rows = xml(self.spark, paths, row_tag, schema).withColumn("_file", F.input_file_name())
-        name = F.regexp_extract("_file", r"([^/]*)$", 1)
         place = F.lit(-1)
-        for i, p in enumerate(paths):
-            place = F.when(name == p.rsplit("/", 1)[-1], i).otherwise(place)
+        for i, p in enumerate(paths):  # a path is a file or a folder of files
+            place = F.when(F.col("_file").contains("/" + p.rstrip("/").rsplit("/", 1)[-1]), i).otherwise(place)
         return rows.withColumn("_document", place).drop("_file")
 
     def text(self, uri: str) -> DataFrame:
