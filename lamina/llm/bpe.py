@@ -32,7 +32,7 @@ from lamina.llm.common import bounded, trimmed
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces that one query contracts at once; pieces that each of the cache's two generations holds; pieces kept from task to task.
-CHUNK, GENERATION, KEPT = 40_000, 120_000, 40_000
+CHUNK, GENERATION, KEPT = 40_000, 150_000, 60_000
 #: The recursive query holds about half of a piece's squared length over its rounds: so many such units a query, and longer pieces elsewhere.
 CHUNK_UNITS, LONG = 20_000_000, 1024
 
@@ -200,7 +200,7 @@ def codec(tokens: list[bytes]) -> Codec:
 
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 #: Characters of texts whose pieces are held at once.
-SPAN = 2_500_000
+SPAN = 4_000_000
 
 
 def encoded(docs: DataFrame, tokens: list[bytes] | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", with_ids: bool = True) -> DataFrame:
