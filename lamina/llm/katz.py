@@ -243,9 +243,9 @@ class Pairs:
         self.word_count = known
         before = np.zeros(len(codes), np.int64)
         before[1:] = self.count[:-1]
+        before[begin] = self.count[begin + self.lengths - 1]  # every document begins once and ends once
         hot = np.zeros(len(key), np.int64)
         hot[self.inverse] = before[self.asked]
-        hot[first == BEGIN_ID] = 0
         salts = 1 + hot // BUCKET_TOKENS
         salt = at.mix(word) % salts.astype(_U64)
         bucket = (at.mix(first + (salt << _U64(32))) % _U64(buckets)).astype(np.int64)

@@ -113,7 +113,7 @@ def test_katz_against_brute_force(small):
 
 def test_katz_with_small_blocks_and_hot_contexts(small, monkeypatch):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
-    monkeypatch.setattr(katz, "BUCKET_TOKENS", 900)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 60)
     rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
     same_scores(katz.report(small).collect(), katz_by_hand(rows))
 
