@@ -35,7 +35,7 @@ def curriculum_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text."""
-    return bpe.encoded(docs)
+    return bpe.encoded(docs, lean=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("curriculum_mix", curriculum_mix), ("byte_bpe", byte_bpe)]

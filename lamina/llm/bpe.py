@@ -77,6 +77,7 @@ class Codec:
     """One worker's DuckDB with the merge table and the vocabulary, and the cache of pieces."""
 
     tokens: list[bytes]
+    generation: int = GENERATION
     #: By piece: (ids as text, decoded text); and those of the generation before.
     known: dict[str, tuple[str, str]] = field(default_factory=dict)
     old: dict[str, tuple[str, str]] = field(default_factory=dict)
@@ -171,7 +172,7 @@ class Codec:
 
     def know(self, pieces: set[str]) -> None:
         """Makes ``known`` hold all of the pieces, from the cache or by the queries."""
-        if len(self.known) > GENERATION:
+        if len(self.known) > self.generation:
             self.old, self.known = self.known, {}
         missing = []
         for p in pieces.difference(self.known):
@@ -189,24 +190,34 @@ class Codec:
 _CODECS: dict[bytes, Codec] = {}
 
 
-def codec(tokens: list[bytes]) -> Codec:
+def codec(tokens: list[bytes], generation: int = GENERATION) -> Codec:
     """The worker's codec for a vocabulary; a worker keeps the last one."""
     key = hashlib.sha256(b"\0".join(tokens)).digest()
     if key not in _CODECS:
         _CODECS.clear()
         _CODECS[key] = Codec(tokens)
+    _CODECS[key].generation = generation
     return _CODECS[key]
 
 
+def released() -> None:
+    """Frees the worker's codec."""
+    while _CODECS:
+        _CODECS.popitem()[1].con.close()
+
+
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 #: Characters of texts whose pieces are held at once.
 SPAN = 4_000_000
+#: The cache's generations and the span where workers are to stay small.
+LEAN_GENERATION, LEAN_SPAN = 60_000, 1_500_000
 
 
-def encoded(docs: DataFrame, tokens: list[bytes] | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, tokens: list[bytes] | None = None, pattern: str = public_tokenizers.PATTERN, text_col: str = "text", with_ids: bool = True, lean: bool = False) -> DataFrame:
     """docs without the text but with n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids themselves as array<int>.
 
-    Columns of docs with these names give way to the new ones."""
+    Columns of docs with these names give way to the new ones.  lean: a small cache, and nothing kept in a worker between tasks, for plans in
+    which other operators use the same workers; results are the same."""
     spark: SparkSession = bounded(docs.sparkSession)
     shared = spark.sparkContext.broadcast(tokens or vocabulary())
     ids_field = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)] if with_ids else []
@@ -215,16 +226,20 @@ def encoded(docs: DataFrame, tokens: list[bytes] | None = None, pattern: str = p
     schema = T.StructType([*rest, *DIGESTS.fields, *ids_field])
 
     def run(batches):
-        own, find = codec(shared.value), regex.compile(pattern).findall
+        own, find = codec(shared.value, LEAN_GENERATION if lean else GENERATION), regex.compile(pattern).findall
+        span = LEAN_SPAN if lean else SPAN
         for batch in batches:
             texts = at.column(batch, text_col)
             sizes = np.cumsum(np.asarray(pc.binary_length(texts)))
             at_ = 0
             while at_ < len(texts):
-                stop = max(at_ + 1, int(np.searchsorted(sizes, (sizes[at_ - 1] if at_ else 0) + SPAN)))
+                stop = max(at_ + 1, int(np.searchsorted(sizes, (sizes[at_ - 1] if at_ else 0) + span)))
                 yield _encoded(batch.slice(at_, stop - at_), texts.slice(at_, stop - at_), own, find, [f.name for f in rest], with_ids, schema.names)
                 at_ = stop
         own.rest()
+        if lean:
+            del own
+            released()
         trimmed()
 
     return docs.mapInArrow(run, schema)
