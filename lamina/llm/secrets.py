@@ -5,6 +5,8 @@ digits.  The forest looks at length, changes of character class, dictionary cove
 labelled findings: by default those that ``labelled_findings`` makes from stated shapes of secrets and of look-alikes; a table of reviewed
 findings with the same columns takes its place.
 
+Values and mixed strings have no upper length.  A long one that the forest refuses as a whole is looked into, so it hides no secret inside it.
+
 A batch of texts first goes through one compiled search for what any candidate must hold; only texts that pass are scanned further.
 """
 
@@ -31,12 +33,13 @@ from lamina.llm.text_stats import fresh
 PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
 NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|credential|bearer"
 BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----"
-CANDIDATES = re.compile(
-    rf"(?P<block>{BLOCK})"
-    rf"|\b(?P<prefixed>{PREFIXED})(?![0-9A-Za-z])"
-    rf"|(?i:{NAMES})[\"']?\s{{0,3}}(?:[:=]|\s)\s{{0,3}}(?P<quote>[\"']?)(?P<assigned>[^\s\"']{{6,200}})(?P=quote)"
-    r"|(?<![0-9A-Za-z+/_=-])(?P<mixed>(?=[A-Za-z+/_=-]*[0-9])[0-9A-Za-z+/_=-]{16,200})(?![0-9A-Za-z+/_=-])"
-)
+_ASSIGN = rf"(?i:{NAMES})[\"']?\s{{0,3}}(?:[:=]|\s)\s{{0,3}}(?P<quote>[\"']?)"
+_MIXED = r"(?<![0-9A-Za-z+/_=-])(?P<mixed>(?=[A-Za-z+/_=-]*+[0-9])[0-9A-Za-z+/_=-]{16,}+)"
+_PREFIXED = rf"\b(?P<prefixed>{PREFIXED})(?![0-9A-Za-z])"
+CANDIDATES = re.compile(rf"(?P<block>{BLOCK})|{_PREFIXED}|{_ASSIGN}(?P<assigned>[^\s\"']{{6,}}+)(?P=quote)|{_MIXED}")
+#: What is searched inside a refused candidate of more than LONG characters: a value ends before the next name that has one.
+INNER = re.compile(rf"{_PREFIXED}|{_ASSIGN}(?P<assigned>(?:(?!(?i:{NAMES})[:=])[^\s\"']){{6,}}+)(?P=quote)|{_MIXED}")
+LONG = 200
 #: What a text must hold to hold a candidate; searched without backtracking.
 MAY_HOLD = rf"(?i:{NAMES})|-----BEGIN |AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|[0-9][0-9A-Za-z+/_=-]{{7}}|[0-9A-Za-z+/_=-]{{8}}[0-9]"
 #: Fixed words: names that go before secrets, and words that go before harmless look-alikes.
@@ -152,12 +155,25 @@ def default_forest() -> forest.Forest:
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of the candidates in order; they do not overlap."""
-    return [(*m.span(kind), kind) for m in CANDIDATES.finditer(text) if (kind := next(k for k in ("block", "prefixed", "assigned", "mixed") if m[k] is not None))]
+    return [(*m.span(m.lastgroup), m.lastgroup) for m in CANDIDATES.finditer(text)]
+
+
+def _inside(text: str, begin: int, end: int, kind: str) -> list[tuple[int, int, str]]:
+    """The candidates inside a refused one, in order."""
+    spans = ((*m.span(m.lastgroup), m.lastgroup) for m in INNER.finditer(text, begin + (kind == "mixed"), end))
+    return [s for s in spans if s[:2] != (begin, end)]
 
 
 def scan(texts: list[str], model: forest.Forest) -> list[list[tuple[int, int, str, float]]]:
-    """All candidates of each text with their scores."""
-    found = [candidates(t) for t in texts]
+    """All candidates of each text with their scores; in place of a long refused one that holds others, those."""
+    found = _scored(texts, [candidates(t) for t in texts], model)
+    while inner := {(i, b): more for i, of in enumerate(found) for b, e, kind, score in of if score < CUT and e - b > LONG and (more := _inside(texts[i], b, e, kind))}:
+        scored = dict(zip(inner, _scored([texts[i] for i, _ in inner], list(inner.values()), model), strict=True))
+        found = [[x for c in of for x in scored.get((i, c[0]), [c])] for i, of in enumerate(found)]
+    return found
+
+
+def _scored(texts: list[str], found: list[list[tuple[int, int, str]]], model: forest.Forest) -> list[list[tuple[int, int, str, float]]]:
     rows = [features(t[b:e], t[max(0, b - CONTEXT) : b], t[e : e + CONTEXT]) for t, of in zip(texts, found, strict=True) for b, e, _ in of]
     scores = iter(model.score(np.array(rows, float).reshape(-1, len(FEATURES))))
     return [[(b, e, kind, max(float(next(scores)), float(kind == "block"))) for b, e, kind in of] for of in found]
