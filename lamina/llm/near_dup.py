@@ -12,15 +12,16 @@
 No bucket is cut, no pair is dropped for a size, and no task holds more than two blocks of a bucket.  At a Jaccard similarity equal to the
 threshold the bands miss a pair with probability under 0.0001; every link that is made is exact up to 64-bit hashes of shingles.
 
-Null and empty texts, and texts without words, have the empty set and link with nothing.  Rows that repeat a doc_id are one document for
-links made by any of them.  A row without doc_id takes part through classes that also hold an id, and its component is null otherwise.
+Null and empty texts, and texts without words, have the empty set and link with nothing.  In ``report`` rows that repeat a doc_id are one
+document for links made by any of them, and a row without doc_id takes part through classes that also hold an id; its component is null
+otherwise.  ``one_of_each`` looks at texts alone: ids, repeated or null, neither link rows nor keep them apart.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +43,13 @@ def _name(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at.mix((total[offsets[1:]] - total[offsets[:-1]]) ^ at.mix(np.diff(offsets).astype(_U64)))
 
 
+def _row() -> Column:
+    """A 64-bit name of a row by its doc_id, null or not, and its text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (the set's name; null if it is empty), keys (of its bands), sig (two bytes for each slot)."""
+    """doc_id, row (its name), n_shingles, node (the set's name; null if it is empty), keys (of its bands), sig (two bytes for each slot)."""
     bounded(docs.sparkSession)
     slots = BANDS * ROWS
 
@@ -58,16 +64,16 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             flat = pa.array(keys.reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(_name(elements, offsets).view(np.int64), mask=~some), lists, pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["doc_id", "n_shingles", "node", "keys", "sig"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(size), pa.array(_name(elements, offsets).view(np.int64), mask=~some), lists, pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["doc_id", "row", "n_shingles", "node", "keys", "sig"],
             )
         trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), _row().alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, keys array<long>, sig binary")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, elements) for the wanted (node, doc_id): sorted shingle hashes as bytes.  A doc_id's rows with other texts do not count."""
+    """(node, elements) for the wanted (node, row): sorted shingle hashes as bytes."""
 
     def run(batches):
         for batch in batches:
@@ -77,7 +83,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         trimmed()
 
     wanted = bounded_broadcast(nodes, nodes.count())
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    found = docs.select(_row().alias("row"), "text").join(wanted, "row").select("node", "text")
     return found.mapInArrow(run, "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
 
 
@@ -156,9 +162,17 @@ def _rest(open_members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: in
     return cells.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row for each row of documents: doc_id, n_shingles, node, component_id (the smallest doc_id reachable)."""
+def _first() -> Column:
+    """Of some rows the one with the smallest doc_id, those without one last, then the smallest name."""
+    return F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row"))
+
+
+def _labelled(documents: DataFrame, k: int, percent: int, by_id: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows, their nodes (node, doc_id, keys) and the labels (node, label) of linked nodes.
+
+    by_id: rows that share a doc_id are linked, and nodes without any doc_id are not."""
     spark = documents.sparkSession
+    held = "node is not null and doc_id is not null" if by_id else "node is not null"
     rows = written(signed(documents, k), "signatures")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     exploded = nodes.select("node", F.explode("keys").alias("key"))
@@ -169,13 +183,13 @@ def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
     ranked = members.join(company, "node").select("key", "node", F.struct("company", "node").alias("rank"))
     pivots = ranked.groupBy("key").agg(F.max("rank")["node"].alias("pivot"))
     unranked, members = members, written(members.join(pivots, "key").select("key", "node", "pivot"), "members")
-    wanted = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(members.select("node").distinct(), "node", "left_semi")
+    wanted = rows.where(held).groupBy("node").agg(_first()["row"].alias("row")).join(members.select("node").distinct(), "node", "left_semi")
     sets = written(full_sets(documents, wanted, k), "sets")
     stars = members.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = linked = written(verified(stars, sets, percent), "links")
-    # rows that share a doc_id are one document
-    same = rows.where("node is not null and doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b")
-    links = links.unionByName(same.select("a", F.explode("all").alias("b")))
+    if by_id:
+        same = rows.where(held).groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).where("a != b")
+        links = links.unionByName(same.select("a", F.explode("all").alias("b")))
     labels = contracted(links)
 
     labelled = members.where("node != pivot").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -189,6 +203,12 @@ def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
             labels = contracted(links.unionByName(more))
         deleted(spark, more)
     dropped(spark, unranked, members, sets, linked, open_members)
+    return rows, nodes, labels
+
+
+def classes(documents: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row for each row of documents: doc_id, n_shingles, node, component_id (the smallest doc_id reachable)."""
+    rows, nodes, labels = _labelled(documents, k, percent, by_id=True)
     smallest = nodes.select("node", "doc_id").join(labels, "node").groupBy("label").agg(F.min("doc_id").alias("_least"))
     grouped = labels.join(smallest, "label").select("node", "_least")
     alone = nodes.select("node", F.col("doc_id").alias("_own"))
@@ -202,14 +222,19 @@ def report(documents: DataFrame, k: int = 3, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """documents without near copies: of each group the row with the smallest doc_id stays, once."""
-    kept = classes(documents, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = written(kept, "kept")
-    ids = bounded_broadcast(kept, kept.count())
-    stays = documents.join(ids, "doc_id", "left_semi")
-    repeats = documents.groupBy("doc_id").count().where("count > 1").limit(1)
-    if not repeats.take(1):
-        return stays
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns))
-    name = fresh(documents, "_first")
-    return stays.withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).select(*documents.columns)
+    """documents without near copies: of each group of texts one row stays, that with the smallest doc_id, or any if none has one.
+
+    Rows that link with nothing all stay, with or without doc_id, and so do all rows with the empty set."""
+    rows, _, labels = _labelled(documents, k, percent, by_id=False)
+    firsts = rows.where("node is not null").groupBy("node").agg(_first().alias("first")).join(labels, "node", "left")
+    firsts = firsts.groupBy(F.coalesce("label", "node")).agg(F.min("first")["row"].alias("row")).select("row", F.lit(False).alias("empty"))
+    kept = written(firsts.unionByName(rows.where("node is null").select("row", F.lit(True).alias("empty")).distinct()), "kept")
+    row, empty, nth = (fresh(documents, c) for c in ("_row", "_empty", "_nth"))
+    ids = bounded_broadcast(kept.select(F.col("row").alias(row), F.col("empty").alias(empty)), kept.count())
+    stays = documents.withColumn(row, _row()).join(ids, row)
+    repeats = rows.where("node is not null").groupBy("row").count().where("count > 1").join(kept, "row", "left_semi").limit(1)
+    if repeats.take(1):
+        first = Window.partitionBy(row).orderBy(F.xxhash64(*documents.columns))
+        once = stays.where(~F.col(empty)).withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+        stays = once.unionByName(stays.where(F.col(empty)))
+    return stays.select(*documents.columns)

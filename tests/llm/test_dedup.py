@@ -78,6 +78,16 @@ def test_odd_documents(spark, odd, none):
     assert near_dup.one_of_each(none).count() == 0
 
 
+def test_one_of_each_without_ids_and_with_repeated_ids(spark):
+    a, b, c, d, e = (near_copies(seed, 1, 1)[0] for seed in range(11, 16))
+    lone, near = e.split(), d.split()
+    near[-1] = "other"
+    rows = [(None, a), (1, b), (1, c), (1, b), (None, d), (None, d), (None, " ".join(near)), (None, " ".join(lone)), (2, " ".join([*lone[:-1], "other"])), (None, ""), (None, None), (3, ""), (3, None)]
+    kept = near_dup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept if r.text not in (d, " ".join(near))) == Counter([rows[i] for i in (0, 1, 2, 8, 9, 10, 11, 12)])
+    assert sum(r.text in (d, " ".join(near)) for r in kept) == 1
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
