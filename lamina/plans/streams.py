@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +60,31 @@ def stream_iterate_break(t: Tables) -> DataFrame:
 
 @query(ISLANDS.split("select user_id, grp")[0] + """select user_id, grp::bigint as grp, min(event_type) as event_type, count(*)::bigint as n from g where grp < (select max(grp) from g h where h.user_id = g.user_id) group by user_id, grp""")
 def stream_group_adjacent(t: Tables) -> DataFrame:
-    """A run leaves when its key changes; each user's last run is still open when the stream ends."""
+    """A run leaves when its key changes; each user's last run is still open when the stream ends (``stream_group_adjacent_all`` has it too)."""
+    return Z.run_now(_runs(_events(t)))
+
 
+def _runs(events: DataFrame, held_open: Callable[[object, tuple], list[dict]] | None = None) -> DataFrame:
     def step(state, row):
         kind, n, grp = state
-        if kind == row.event_type:
+        if n and kind == row.event_type:
             return (kind, n + 1, grp), []
         done = [{"user_id": row.user_id, "grp": grp, "event_type": kind, "n": n}] if n else []
         return (row.event_type, 1, grp + 1), done
 
-    out = Z.folded(_events(t).select("event_id", "ts", "user_id", "event_type"), "user_id", ["ts", "event_id"], step, ("", 0, 0), "kind string, n long, grp long", "user_id long, grp long, event_type string, n long")
-    return Z.run_now(out)
+    return Z.folded(events.select("event_id", "ts", "user_id", "event_type"), "user_id", ["ts", "event_id"], step, ("", 0, 0), "kind string, n long, grp long", "user_id long, grp long, event_type string, n long", held_open)
+
+
+@query(ISLANDS.replace(", round(sum(value), 2) as total", ""))
+def stream_group_adjacent_all(t: Tables) -> DataFrame:
+    """All runs: the open one also leaves with each micro-batch, and of its rows the longest counts."""
+
+    def held_open(user, state):
+        kind, n, grp = state
+        return [{"user_id": user, "grp": grp, "event_type": kind, "n": n}]
+
+    out = Z.run_now(_runs(_events(t), held_open))
+    return out.groupBy("user_id", "grp").agg(F.min("event_type").alias("event_type"), F.max("n").alias("n"))
 
 
 @query("""select strftime(time_bucket(interval '1 day', ts), '%Y-%m-%d') as day, event_type, count(*)::bigint as n from events group by 1, 2""")

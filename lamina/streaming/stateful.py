@@ -32,10 +32,11 @@ def watchers(stream: DataFrame, *aggregates: Column, within: list[str] | None =
     return stream.groupBy(*within).agg(*aggregates) if within else stream.agg(*aggregates)
 
 
-def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple, object], tuple[tuple, list[dict]]], start: tuple, state: str, out: str) -> DataFrame:
+def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple, object], tuple[tuple, list[dict]]], start: tuple, state: str, out: str, held_open: Callable[[object, tuple], list[dict]] | None = None) -> DataFrame:
     """An ordered fold with state for each key: step gets (state, row) and gives the new state and rows to emit.
 
-    Serves accumulators, iteration with early exit (a state that no longer changes) and positional grouping (a row on each change of key)."""
+    Serves accumulators, iteration with early exit (a state that no longer changes) and positional grouping (a row on each change of key).
+    held_open: gets (key, state) after a key's rows of each micro-batch and gives rows too, for what only the end of the stream would emit."""
     classify(["iterate"], True)
     columns = [c.split()[0] for c in out.split(",")]
 
@@ -46,6 +47,8 @@ def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple,
             now, emitted = step(now, row)
             rows += emitted
         held.update(tuple(now))
+        if held_open:
+            rows += held_open(k[0], now)
         yield pd.DataFrame(rows, columns=columns)
 
     return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)

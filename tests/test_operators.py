@@ -15,6 +15,7 @@ from lamina.operators import sets as U
 from lamina.operators import windows as W
 from lamina.operators.rules import Mode, RuleSet
 from lamina.operators.sorting import SortKey, perform_sort
+from lamina.plans.registry import QUERIES
 
 
 @pytest.fixture
@@ -217,3 +218,9 @@ def test_trees(spark):
         X.nodes(bad).collect()
     with pytest.raises(PySparkException):
         X.nodes(spark.createDataFrame([(1, "<!DOCTYPE r [<!ENTITY e 'x'>]><r>&e;</r>")], "doc_id long, xml string")).collect()
+
+
+def test_stream_of_adjacent_groups_has_each_last_run(spark, folder):
+    want = QUERIES["group_adjacent"](spark, folder).drop("total").collect()
+    got = QUERIES["stream_group_adjacent_all"](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
