@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina.functions.atomize import number
 
@@ -35,6 +36,12 @@ def perform_sort(df: DataFrame, keys: list[SortKey], stable: list[str]) -> DataF
     return df.orderBy(*(c for k in keys for c in k.columns()), *stable)
 
 
+def numbered(df: DataFrame, keys: list[SortKey], stable: list[str], name: str = "pos") -> DataFrame:
+    """All of df with each row's position from 1 in the order of the keys; sorted by ranges, so no task holds it all."""
+    rows = perform_sort(df, keys, stable).rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)]))
+
+
 def top_k(df: DataFrame, keys: list[SortKey], stable: list[str], k: int, within: list[str] | None = None) -> DataFrame:
     """The first k items; of each group if ``within`` is given, where Spark keeps k rows of a group before the shuffle."""
     order = [c for key in keys for c in key.columns()] + [F.col(s) for s in stable]

@@ -14,7 +14,7 @@ from lamina.operators import merge as M
 from lamina.operators import sequence as S
 from lamina.operators import sets as U
 from lamina.operators import windows as W
-from lamina.operators.sorting import SortKey, perform_sort, top_k
+from lamina.operators.sorting import SortKey, numbered, perform_sort, top_k
 from lamina.plans.registry import Tables, query
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -368,6 +368,16 @@ def sort_numeric_text(t: Tables) -> DataFrame:
     return top_k(t.events, [SortKey(F.get_json_object("props", "$.k"), numeric=True)], ["event_id"], 40).select("event_id")
 
 
+@query("""select c_custkey, row_number() over (order by c_mktsegment desc nulls last, c_acctbal asc nulls first, c_custkey)::bigint as pos from customer""")
+def sort_multi_key_all(t: Tables) -> DataFrame:
+    return numbered(t.customer.select("c_custkey", "c_mktsegment", "c_acctbal"), [SortKey(F.col("c_mktsegment"), descending=True), SortKey(F.col("c_acctbal"))], ["c_custkey"]).select("c_custkey", "pos")
+
+
+@query("""select event_id, row_number() over (order by try_cast(json_extract_string(props, '$.k') as double) asc nulls first, event_id)::bigint as pos from events""")
+def sort_numeric_text_all(t: Tables) -> DataFrame:
+    return numbered(t.events.select("event_id", "props"), [SortKey(F.get_json_object("props", "$.k"), numeric=True)], ["event_id"]).select("event_id", "pos")
+
+
 @query("""select word from (select distinct unnest(string_split(p_name, ' ')) as word from part) order by lower(word)""")
 def sort_collation(t: Tables) -> DataFrame:
     words = t.part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
