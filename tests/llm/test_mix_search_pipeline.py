@@ -148,6 +148,33 @@ def test_index_finds_every_code_within_the_radius():
         assert sorted(zip(q.tolist(), r.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
 
 
+@pytest.mark.parametrize("units", [2, 4, 8])
+def test_index_of_longer_substrings(units):
+    rng = np.random.default_rng(1)
+    codes = rng.integers(0, 1 << 16, (300, 16)).astype(np.uint16)
+    codes[100:150] = codes[0]
+    queries = codes[:30] ^ (1 << rng.integers(0, 16, (30, 16))).astype(np.uint16)
+    for radius in (0, 16, 90, 117, 256):
+        q, r = multi_index.Index(codes, units).within(queries, np.full(30, radius))
+        want = np.argwhere(np.bitwise_count(queries[:, None] ^ codes[None]).sum(-1) <= radius)
+        assert sorted(zip(q.tolist(), r.tolist(), strict=True)) == sorted(map(tuple, want.tolist()))
+
+
+def test_the_index_spares_comparisons(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9000, 64))
+    df = spark.createDataFrame([(i, [float(c) for c in v / np.linalg.norm(v)]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    counts = multi_index.report(df).where("rank = 1").agg(F.avg("n_probed"), F.avg("n_compared")).first()
+    assert counts[1] <= counts[0] < 0.2 * len(x) and counts[1] < 0.1 * len(x)
+
+
+def test_an_id_asks_once(spark):
+    rows = [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (3, [0.5, 1.0]), (20, [0.25, 0.0]), (20, [0.25, 0.0])]
+    got = multi_index.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>", verifySchema=False))
+    rows = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect())
+    assert rows == [(0, 1, 3, 0.5), (0, 2, 20, 0.25), (0, 3, 20, 0.25), (20, 1, 0, 0.5), (20, 2, 0, 0.25), (20, 3, 0, 0.25), (20, 4, 3, 0.125)]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
