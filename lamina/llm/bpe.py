@@ -2,19 +2,22 @@
 
 Texts are split by the tokenizer's pattern.  The distinct pieces of a batch go to an in-memory DuckDB of the worker: token-position rows join
 the merge table (left id, right id -> rank), each piece contracts its leftmost pair of least rank, and the query recurs until no pair is
-left.  Its rounds over one piece cost the square of the length, so a piece of more than LONG bytes without any break contracts the same pairs in
-the same order from a heap.  Decoding joins ids with the vocabulary and concatenates bytes by an ordered aggregate.  Results by piece are kept
-in a cache of bounded size, for words come back often; its size changes only the speed.
+left.  Its rounds over one piece cost the square of the length, so pieces of more than LONG bytes without any break go to a second recursive query.
+That one keeps its rows by key, a round gives back only the rows that changed, and it contracts the pairs of least rank from left to right as long as
+no contraction makes a pair that would come before the next: the same pairs in the same order.
 
-A piece that is a token as a whole is that token, as the usual libraries have it.  Null texts count as empty and give no ids.  The
-vocabulary, some 50,000 tokens of a file given by path, is read on the driver and broadcast: its size does not depend on the data.
+Decoding joins ids with the vocabulary and concatenates bytes by an ordered aggregate, for every id: a piece that is a token as a whole, and
+is that token as the usual libraries have it, gets its bytes from its id too.  Results by piece are kept in a cache of bounded size, for words come
+back often; its size changes only the speed.
+
+Null texts count as empty and give no ids.  The vocabulary, some 50,000 tokens of a file given by path, is read on the driver and broadcast: its
+size does not depend on the data.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
 from dataclasses import dataclass, field
 
@@ -33,7 +36,7 @@ from lamina.llm.common import bounded, trimmed
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pieces that one query contracts at once; pieces that each of the cache's two generations holds; pieces kept from task to task.
 CHUNK, GENERATION, KEPT = 40_000, 150_000, 60_000
-#: The recursive query holds about half of a piece's squared length over its rounds: so many such units a query, and longer pieces elsewhere.
+#: The first query holds about half of a piece's squared length over its rounds: so many such units a query, and longer pieces by the second.
 CHUNK_UNITS, LONG = 20_000_000, 1024
 
 # One row for each piece and round; a pair's value packs its rank above its position, so the least is the leftmost of least rank.  A rank is the
@@ -60,7 +63,45 @@ decoded as (
     from (select w, unnest(ids) as id, generate_subscripts(ids, 1) as pos from done) t join vocabulary v on v.id = t.id
     group by t.w
 )
-select d.w, array_to_string(d.ids, ',') as ids, decode(unhex(c.hex)) as text from done d join decoded c on c.w = d.w
+select d.w, array_to_string(d.ids, ',') as ids, unhex(c.hex) as bytes from done d join decoded c on c.w = d.w
+"""
+# One row for each token, by piece and position, with the rank of its pair with the next.  Of a run of overlapping pairs every other one is taken; a
+# turn is the last of its round if the pairs that it makes, to its left or its right, have no higher rank than its own.
+ENCODE_LONG = """
+with recursive tokens(w, pos, id, rank, live) using key (w, pos) as (
+    select b.w, b.pos, b.id, m.rank, true
+    from (select *, lead(id) over (partition by w order by pos) as next_id from bytes_of) b
+    left join merges m on m.pair = b.id::bigint * 1048576 + b.next_id
+    union
+    (with here as (
+        select w, pos, id, rank, lag(id) over o as left_id, lag(pos) over o as left_pos, lead(pos) over o as right_pos, lead(id, 2) over o as after_id,
+               row_number() over o as i
+        from recurring.tokens where live window o as (partition by w order by pos)
+    ), least_rank as (
+        select w, min(rank) as rank from recurring.tokens where live group by w
+    ), hits as (
+        select h.*, i - row_number() over (partition by h.w order by pos) as run from here h join least_rank b on b.w = h.w and b.rank = h.rank
+    ), turns as (
+        select *, coalesce(lag(right_pos) over o = left_pos, false) as touching
+        from (select *, row_number() over (partition by w, run order by pos) as nth from hits) where nth % 2 = 1
+        window o as (partition by w order by pos)
+    ), made as (
+        select t.*, l.rank as left_rank, r.rank as right_rank, coalesce(least(l.rank, r.rank) <= t.rank, false) as stops
+        from turns t
+        left join merges l on l.pair = (case when t.touching then t.rank else t.left_id end)::bigint * 1048576 + t.rank
+        left join merges r on r.pair = t.rank::bigint * 1048576 + t.after_id
+    ), kept as (
+        select *, coalesce(lead(touching) over (partition by w order by pos), false) as touched, lead(left_rank) over (partition by w order by pos) as touched_rank
+        from (select *, sum(stops::int) over (partition by w order by pos rows between unbounded preceding and 1 preceding) as before from made)
+        where coalesce(before, 0) = 0
+    )
+    select w, pos, rank, case when touched then touched_rank else right_rank end, true from kept
+    union all
+    select w, right_pos, null, null, false from kept
+    union all
+    select w, left_pos, left_id, left_rank, true from kept where not touching and left_pos is not null)
+)
+select w, list(id order by pos) as ids from tokens where live group by w order by w
 """
 DECODE = "select w, unhex(array_to_string(list(v.hex order by t.pos), '')) as bytes from tokens_of t join vocabulary v on v.id = t.id group by w order by w"
 
@@ -78,9 +119,9 @@ class Codec:
 
     tokens: list[bytes]
     generation: int = GENERATION
-    #: By piece: (ids as text, decoded text); and those of the generation before.
-    known: dict[str, tuple[str, str]] = field(default_factory=dict)
-    old: dict[str, tuple[str, str]] = field(default_factory=dict)
+    #: By piece: (ids as text, decoded bytes); and those of the generation before.
+    known: dict[str, tuple[str, bytes]] = field(default_factory=dict)
+    old: dict[str, tuple[str, bytes]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.rank = {t: i for i, t in enumerate(self.tokens)}
@@ -102,15 +143,15 @@ class Codec:
         finally:
             self.con.unregister(name)
 
-    def contracted(self, pieces: list[bytes]) -> list[tuple[str, str]]:
+    def contracted(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
         """Ids of each piece as text, and what they decode to, by the recursive query."""
         offsets = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
         ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
         rows = pa.table({"w": np.arange(len(pieces), dtype=np.int32), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))})
         out = self._run("bytes_of", rows, ENCODE)
         found: list = [None] * len(pieces)
-        for w, ids, text in zip(out.column("w").to_pylist(), out.column("ids").to_pylist(), out.column("text").to_pylist(), strict=True):
-            found[w] = (ids, text)
+        for w, ids, raw in zip(out.column("w").to_pylist(), out.column("ids").to_pylist(), out.column("bytes").to_pylist(), strict=True):
+            found[w] = (ids, raw)
         return found
 
     def decoded(self, ids: list[list[int]]) -> list[bytes]:
@@ -122,40 +163,27 @@ class Codec:
         by_w = dict(zip(out.column("w").to_pylist(), out.column("bytes").to_pylist(), strict=True))
         return [by_w.get(w, b"") for w in range(len(ids))]
 
-    def contracted_long(self, piece: bytes) -> list[int]:
-        """The same contraction, leftmost pair of least rank first, from a heap: for a piece too long for rounds over all its tokens."""
-        part = [piece[i : i + 1] for i in range(len(piece))]
-        after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
-        alive = [True] * len(part)
-        rank = self.rank.get
-        heap = [(r, i, i + 1) for i in range(len(part) - 1) if (r := rank(part[i] + part[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, j = heapq.heappop(heap)
-            if not (alive[i] and j < len(part) and alive[j] and after[i] == j and rank(part[i] + part[j]) == r):
-                continue
-            part[i] += part[j]
-            alive[j] = False
-            after[i] = after[j]
-            if after[i] < len(part):
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < len(part) and (q := rank(part[x] + part[y])) is not None:
-                    heapq.heappush(heap, (q, x, y))
-        return [self.rank[t] for t, a in zip(part, alive, strict=True) if a]
+    def contracted_long(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece by the second query."""
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        pos = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        rows = pa.table({"w": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": ids})
+        return self._run("bytes_of", rows, ENCODE_LONG).column("ids").to_pylist()
 
     def learned(self, pieces: list[str]) -> None:
-        """Adds pieces to the cache: (ids as text, decoded text)."""
+        """Adds pieces to the cache: (ids as text, decoded bytes)."""
+        whole: list[tuple[str, int]] = []
         part: list[str] = []
         raws: list[bytes] = []
         units = 0
         for p in pieces:
             raw = p.encode()
             if (r := self.rank.get(raw)) is not None:
-                self.known[p] = (str(r), p)
+                whole.append((p, r))
             elif len(raw) > LONG:
-                ids = self.contracted_long(raw)
-                self.known[p] = (",".join(map(str, ids)), self.decoded([ids])[0].decode())
+                (ids,) = self.contracted_long([raw])
+                self.known[p] = (",".join(map(str, ids)), self.decoded([ids])[0])
             else:
                 part.append(p)
                 raws.append(raw)
@@ -165,10 +193,13 @@ class Codec:
                     part, raws, units = [], [], 0
         if part:
             self._learned(part, raws)
+        if whole:
+            for (p, r), raw in zip(whole, self.decoded([[r] for _, r in whole]), strict=True):
+                self.known[p] = (str(r), raw)
 
     def _learned(self, part: list[str], raws: list[bytes]) -> None:
-        for p, (ids, text) in zip(part, self.contracted(raws), strict=True):
-            self.known[p] = (ids, p if text == p else text)  # one object for equal texts
+        for p, found in zip(part, self.contracted(raws), strict=True):
+            self.known[p] = found
 
     def know(self, pieces: set[str]) -> None:
         """Makes ``known`` hold all of the pieces, from the cache or by the queries."""
@@ -255,7 +286,7 @@ def _encoded(batch: pa.RecordBatch, texts: pa.Array, own: Codec, find, rest: lis
         text = ",".join([f[0] for f in found])
         n.append(text.count(",") + 1 if text else 0)
         ids_sha.append(hashlib.sha256(text.encode()).hexdigest())
-        decoded_sha.append(hashlib.sha256("".join([f[1] for f in found]).encode()).hexdigest())
+        decoded_sha.append(hashlib.sha256(b"".join([f[1] for f in found])).hexdigest())
         if with_ids:
             packed.append(np.array(text.split(","), np.int32) if text else np.zeros(0, np.int32))
     columns = [*(batch.column(c) for c in rest), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
@@ -266,7 +297,10 @@ def _encoded(batch: pa.RecordBatch, texts: pa.Array, own: Codec, find, rest: lis
 
 
 def decoded(df: DataFrame, tokens: list[bytes] | None = None, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """df with the text of its ids as its last column; ids null: empty.  Bytes that are no UTF-8 become replacement characters."""
+    """df with the text of its ids as its last column; ids null: empty.  Bytes that are no UTF-8 become replacement characters.
+
+    A column of df with the new one's name, whatever the case, gives way to it."""
+    df = df.select(*(f"`{c}`" for c in df.columns if c.lower() != text_col.lower()))
     spark: SparkSession = bounded(df.sparkSession)
     shared = spark.sparkContext.broadcast(tokens or vocabulary())
 

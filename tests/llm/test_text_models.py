@@ -56,7 +56,39 @@ def test_bpe_long_pieces_and_cache(reference):
     own.rest()
     own.know(set(pieces))
     for p in pieces:
-        assert own.known[p] == (",".join(map(str, reference.encode_ordinary(p))), p)
+        assert own.known[p] == (",".join(map(str, reference.encode_ordinary(p))), p.encode())
+
+
+def test_bpe_long_query_is_the_first_query(reference):
+    own = bpe.Codec(bpe.vocabulary())
+    rng = random.Random(2)
+    pieces = [("".join(rng.choice(a) for _ in range(n))).encode() for a in ("a", "ab", "thesanio", "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", "éñß") for n in (2, 3, 7, 40, 300)]
+    assert [",".join(map(str, ids)) for ids in own.contracted_long(pieces)] == [ids for ids, _ in own.contracted(pieces)]
+
+
+def test_bpe_stops_where_a_contraction_makes_an_earlier_pair():
+    tokens = [bytes([b]) for b in range(256)] + [b"xab", b"ab", b"abc", b"xa", b"bc", b"abab"]
+    own = bpe.Codec(tokens)
+    rng = random.Random(3)
+    pieces = [("".join(rng.choice("xabc") for _ in range(rng.randint(1, 30)))).encode() for _ in range(300)]
+    assert [",".join(map(str, ids)) for ids in own.contracted_long(pieces)] == [ids for ids, _ in own.contracted(pieces)]
+
+
+def test_bpe_decodes_every_id(spark):
+    tokens = bpe.vocabulary()
+    rank = {t: i for i, t in enumerate(tokens)}
+    own = bpe.Codec(tokens)
+    own.con.execute("update vocabulary set hex = '3f3f' where id = ?", [rank[b" the"]])
+    own.know({" the", " theory", "the", " then the"})
+    assert own.known[" the"] == (str(rank[b" the"]), b"??")
+    assert own.known["the"][1] == b"the"
+
+
+def test_bpe_decoded_text_takes_the_place_of_a_column(spark):
+    df = spark.createDataFrame([(1, [262], "old", "x"), (2, None, "old", "y")], "doc_id long, ids array<int>, Text string, extra string")
+    out = bpe.decoded(df)
+    assert out.columns == ["doc_id", "ids", "extra", "text"]
+    assert [r.text for r in out.orderBy("doc_id").collect()] == [bpe.vocabulary()[262].decode(), ""]
 
 
 def katz_by_hand(rows):
