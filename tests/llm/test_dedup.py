@@ -127,39 +127,81 @@ def test_sentences_join_to_the_text(small):
         assert "".join(sentence_dedup.sentences(r[0])) == r[0]
 
 
-def spans_by_hand(text):
-    parts = [s.strip() for s in sentence_dedup.sentences(text or "")]
+def sentences_by_hand(text):
+    """The same sentences, one character after another."""
+    out, begin, i = [], 0, 0
+    blank = lambda c: c.isspace()
+    while i < len(text):
+        j = i
+        if text[j] in ".!?":
+            while j < len(text) and text[j] in ".!?":
+                j += 1
+            k = j
+            while k < len(text) and blank(text[k]) and text[k] != "\n":
+                k += 1
+            i = k
+            if k > j:
+                out.append(text[begin:k])
+                begin = k
+            continue
+        if blank(text[j]):
+            while j < len(text) and blank(text[j]):
+                j += 1
+            if "\n" in text[i:j]:
+                out.append(text[begin:j])
+                begin = j
+            i = j
+            continue
+        i += 1
+    return [*out, text[begin:]] if begin < len(text) else out
+
+
+def spans_by_hand(text, run, floor, lone):
+    parts = [s.strip() for s in sentences_by_hand(text or "")]
     n = [len(p.split()) for p in parts]
     found = set()
     for i in range(len(parts)):
-        if n[i] >= sentence_dedup.LONE_WORDS:
+        if n[i] >= lone:
             found.add((i, i + 1))
             continue
-        for j in range(i + 2, len(parts) + 1):
-            if sum(n[i:j]) >= sentence_dedup.SPAN_WORDS:
-                found.add((i, j))
-                break
-        for k in range(i - 1, -1, -1):
-            if sum(n[k : i + 1]) >= sentence_dedup.SPAN_WORDS:
-                found.add((k, i + 1))
-                break
+        found |= {(i, j) for j in [next((j for j in range(i + run, len(parts) + 1) if sum(n[i:j]) >= floor), None)] if j}
+        found |= {(k, i + 1) for k in [next((k for k in range(i + 1 - run, -1, -1) if sum(n[k : i + 1]) >= floor), None)] if k is not None}
     return parts, found
 
 
-def test_spans_against_brute_force(spark, small):
-    rows = sorted((r.doc_id, r.text) for r in small.select("doc_id", "text").collect())
+def removed_by_hand(rows, run, floor, lone):
+    """For each row its sentences as they are and whether each is removed; rows in order of their ids, equal rows once."""
     first, cover = {}, {}
-    for d, t in rows:
-        parts, found = spans_by_hand(t)
-        cover[d] = [False] * len(parts)
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        parts, found = spans_by_hand(t, run, floor, lone)
+        cover[d, t] = [False] * len(parts)
         for i, j in sorted(found):
-            key = tuple(parts[i:j])
-            if first.setdefault(key, (d, i, j)) != (d, i, j):
-                cover[d][i:j] = [True] * (j - i)
-    got = {r.doc_id: r for r in sentence_dedup.report(small).collect()}
-    for d, t in rows:
-        kept = "".join(s for s, gone in zip(sentence_dedup.sentences(t), cover[d], strict=True) if not gone)
-        assert (got[d].n_sentences, got[d].n_removed, got[d].text) == (len(cover[d]), sum(cover[d]), kept)
+            if first.setdefault(tuple(parts[i:j]), (d, t, i, j)) != (d, t, i, j):
+                cover[d, t][i:j] = [True] * (j - i)
+    return cover
+
+
+@pytest.mark.parametrize("run, floor, lone", [(2, 20, 50), (3, 0, 10**9), (2, 0, 50), (4, 30, 10**9)])
+def test_spans_against_brute_force(spark, small, run, floor, lone):
+    rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
+    rows += [(r[0], r[1]) for r in rows[:3]] + [(None, "One two three. Four five. Six.\nSeven! Eight nine."), (10**6, "Six.\nSeven! Eight nine. Ten."), (10**6 + 1, "Lead. Six.\nSeven! Eight nine."), (10**6 + 2, None)]
+    cover = removed_by_hand(rows, run, floor, lone)
+    got = sentence_dedup.deduplicated(spark.createDataFrame([(d, t, d or -1) for d, t in rows], "doc_id long, text string, at long"), run, floor, lone).collect()
+    assert len(got) == len(rows)
+    texts = {(d if d is not None else -1): t for d, t in rows}
+    for r in got:
+        d = r.doc_id
+        gone = cover[d, texts[-1 if d is None else d]]
+        kept = "".join(s for s, x in zip(sentences_by_hand(texts[-1 if d is None else d] or ""), gone, strict=True) if not x)
+        assert (r.n_sentences, r.n_removed, r.text or "") == (len(gone), sum(gone), kept)
+
+
+def test_a_hot_run_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sentence_dedup, "HOT", 20)
+    rows = [(i, f"Line {i} is its own. And nothing else is here at all for {i}.\n" + "Common words stand here. " * 3) for i in range(300)]
+    got = {r.doc_id: r for r in sentence_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 2, 0).collect()}
+    cover = removed_by_hand(rows, 2, 0, 50)
+    assert [got[d].n_removed for d, _ in rows] == [sum(cover[r]) for r in rows]
 
 
 def test_planted_passage_goes_from_all_but_the_first(spark):
