@@ -12,14 +12,16 @@ ONES = "zero one two three four five six seven eight nine ten eleven twelve thir
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
 MATH = {"pi": lambda: F.lit(3.141592653589793), "exp": F.exp, "exp10": lambda c: F.pow(F.lit(10.0), c), "log": F.ln, "log10": F.log10, "pow": F.pow, "sqrt": F.sqrt, "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "atan2": F.atan2}
 ROUND = {"round": round_half_up, "round-half-to-even": round_half_even, "floor": F.floor, "ceiling": F.ceil, "abs": F.abs}
 
 
 def integer_divide(a: Column, b: Column) -> Column:
-    """idiv: the quotient towards zero."""
+    """idiv: the quotient towards zero, exact for integers of any size; other numbers divide as doubles."""
+    whole = F.typeof(a).isin(*INTEGERS) & F.typeof(b).isin(*INTEGERS)
     q = a / b
-    return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("long")
+    return F.when(whole, F.call_function("div", a.try_cast("long"), b.try_cast("long"))).otherwise(F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).try_cast("long"))
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -103,13 +105,16 @@ def numeral(c: Column, token: str, ordinal: bool = False, grouping_separator: st
 def numbers(cs: Column, tokens: list[str], separators: list[str], start_at: tuple[int, ...] = (1,)) -> Column:
     """A list of ordinals, as level=multiple gives, by a format such as 1.a.i; the last token, separator and start serve what is left."""
     at = lambda seq, i: seq[min(i, len(seq) - 1)]
-    depth = 16
+    own = max(len(tokens), len(separators) + 1, len(start_at))  # levels with a token, separator or start of their own
 
-    def one(i: int) -> Column:
-        return numeral(F.get(cs, F.lit(i)) + (at(start_at, i) - 1), at(tokens, i))
+    def mark(i: int) -> Column:
+        return F.lit(at(separators, i - 1) if separators else ".")
 
-    out = F.coalesce(one(0), F.lit(""))
-    for i in range(1, depth):
-        piece = F.when(F.size(cs) > i, F.concat(F.lit(at(separators, i - 1) if separators else "."), one(i))).otherwise("")
-        out = F.concat(out, piece)
-    return out
+    def one(i: int, n: Column) -> Column:
+        return numeral(n + (at(start_at, i) - 1), at(tokens, i))
+
+    out = F.coalesce(one(0, F.get(cs, F.lit(0))), F.lit(""))
+    for i in range(1, own):
+        out = F.concat(out, F.when(F.size(cs) > i, F.concat(mark(i), one(i, F.get(cs, F.lit(i))))).otherwise(""))
+    deeper = F.transform(F.slice(cs, own + 1, F.greatest(F.size(cs) - own, F.lit(0))), lambda n: F.concat(mark(own), one(own, n)))
+    return F.concat(out, F.array_join(deeper, ""))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.names import fresh
+
 
 def group_by(df: DataFrame, keys: dict[str, Column], order: list[str], **aggregates: Column) -> DataFrame:
     """Groups with their aggregates and ``first_seen``, the order values of the earliest member; sort by it for order of appearance.
@@ -23,7 +25,8 @@ def group_by(df: DataFrame, keys: dict[str, Column], order: list[str], **aggrega
 
 def group_by_each(df: DataFrame, keys: Column, order: list[str], name: str = "key", **aggregates: Column) -> DataFrame:
     """Groups by a sequence of keys: an item joins the group of each distinct key once; no keys, no group."""
-    return group_by(df.withColumn("_each", F.explode(F.array_distinct(keys))), {name: F.col("_each")}, order, **aggregates)
+    each = fresh(df, "_each")
+    return group_by(df.withColumn(each, F.explode(F.array_distinct(keys))), {name: F.col(each)}, order, **aggregates)
 
 
 def current_group(order: list[str], *columns: str) -> Column:
@@ -41,8 +44,9 @@ def adjacent(df: DataFrame, key: Column, order: list[str], within: list[str], na
     _needs_key(within)
     w = Window.partitionBy(*within).orderBy(*order)
     change = (~key.eqNullSafe(F.lag(key).over(w))) | (F.row_number().over(w) == 1)
-    marked = df.withColumn("_change", change.cast("int"))
-    return marked.withColumn(name, F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_change")
+    mark = fresh(df, "_change")
+    marked = df.withColumn(mark, change.cast("int"))
+    return marked.withColumn(name, F.sum(mark).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop(mark)
 
 
 def starting_with(df: DataFrame, match: Column, order: list[str], within: list[str], name: str = "group") -> DataFrame:
@@ -50,13 +54,15 @@ def starting_with(df: DataFrame, match: Column, order: list[str], within: list[s
     _needs_key(within)
     w = Window.partitionBy(*within).orderBy(*order)
     begins = F.coalesce(match, F.lit(False)) | (F.row_number().over(w) == 1)
-    marked = df.withColumn("_begins", begins.cast("int"))
-    return marked.withColumn(name, F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_begins")
+    mark = fresh(df, "_begins")
+    marked = df.withColumn(mark, begins.cast("int"))
+    return marked.withColumn(name, F.sum(mark).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop(mark)
 
 
 def ending_with(df: DataFrame, match: Column, order: list[str], within: list[str], name: str = "group") -> DataFrame:
     """A group ends after each item that matches."""
     _needs_key(within)
     w = Window.partitionBy(*within).orderBy(*order)
-    marked = df.withColumn("_ends", F.coalesce(match, F.lit(False)).cast("int"))
-    return marked.withColumn(name, (1 + F.coalesce(F.sum("_ends").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long")).drop("_ends")
+    mark = fresh(df, "_ends")
+    marked = df.withColumn(mark, F.coalesce(match, F.lit(False)).cast("int"))
+    return marked.withColumn(name, (1 + F.coalesce(F.sum(mark).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long")).drop(mark)

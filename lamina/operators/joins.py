@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.names import fresh
+
 #: A lookup table is broadcast if it has at most so many rows, else Spark joins by shuffle.
 LOOKUP_ROWS = 200_000
 
@@ -39,8 +41,9 @@ def key_lookup(probe: DataFrame, key: Key, values: tuple[Column, ...], how: str
 
 def key_lookup_any(probe: DataFrame, key: Key, values: Column, identity: list[str]) -> DataFrame:
     """Items found for any value of a sequence, once for each probe row; identity: columns that tell pairs of rows apart."""
-    exploded = probe.withColumn("_value", F.explode(F.array_distinct(values)))
-    return key_lookup(exploded, key, (F.col("_value"),)).drop("_value").dropDuplicates(identity)
+    value = fresh(probe, "_value")
+    exploded = probe.withColumn(value, F.explode(F.array_distinct(values)))
+    return key_lookup(exploded, key, (F.col(value),)).drop(value).dropDuplicates(identity)
 
 
 def matching(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered sequences: a DataFrame and the columns that order it.
 
 ``order`` must be a total order.  Positions inside groups are windows over the group.  Positions in a whole table are worked out in two levels,
-counts by range of the first order column and then windows inside a range, so no task sorts the whole table.
+counts by range of the order and then windows inside a range, so no task sorts the whole table.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.operators.names import fresh
+
 Order = list[Column | str]
 
 #: Ranges that a whole table is split into for positions, and how many values find their bounds.
@@ -23,50 +25,71 @@ def _columns(order: Order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def position(order: Order, within: list[str] | None = None) -> Column:
-    """The position from 1 inside a group; without ``within`` prefer ``with_position``."""
-    return F.row_number().over(Window.partitionBy(*(within or [])).orderBy(*_columns(order))).cast("long")
+def position(order: Order, within: list[str]) -> Column:
+    """The position from 1 inside a group; a whole table's positions come from ``with_position``."""
+    if not within:
+        raise ValueError("a position in a whole table is no window: use with_position")
+    return F.row_number().over(Window.partitionBy(*within).orderBy(*_columns(order))).cast("long")
 
 
-def last(within: list[str] | None = None) -> Column:
+def last(within: list[str]) -> Column:
     """The number of items in the group."""
-    return F.count(F.lit(1)).over(Window.partitionBy(*(within or []))).cast("long")
+    if not within:
+        raise ValueError("the size of a whole table is its count")
+    return F.count(F.lit(1)).over(Window.partitionBy(*within)).cast("long")
+
+
+def _after(keys: list[Column], bound: tuple) -> Column:
+    """Whether the keys, in order, come after a bound; nulls come first."""
+    out = F.lit(False)
+    for k, b in reversed(list(zip(keys, bound, strict=True))):
+        if b is None:
+            out = k.isNotNull() | out
+        else:
+            out = F.coalesce((k > F.lit(b)) | ((k == F.lit(b)) & out), F.lit(False))
+    return out
 
 
-def _cuts(df: DataFrame, key: Column) -> list:
-    """At most RANGES - 1 values that split the key's range about evenly, from a bounded sample of the rows of smallest hashes."""
-    sample = df.select(key.alias("k")).where(F.col("k").isNotNull()).orderBy(F.xxhash64("k")).limit(SAMPLE).collect()
-    found = sorted({r.k for r in sample if r.k == r.k})
-    step = max(1, len(found) // RANGES)
-    return found[step::step][: RANGES - 1]
+def _range_of(df: DataFrame, order: list[str]) -> Column:
+    """The number of each row's range: at most RANGES about even ones, by bounds from a bounded sample of the rows of smallest hashes.
+
+    Bounds are on as many leading order columns as tell the sample's rows apart, so a frequent first value is split by the next column."""
+    keys = [F.unix_micros(o) if isinstance(df.schema[o].dataType, T.TimestampType) else F.col(o) for o in order]
+    rows = df.select(*(k.alias(f"k{i}") for i, k in enumerate(keys))).orderBy(F.xxhash64(*keys), *(f"k{i}" for i in range(len(keys)))).limit(SAMPLE).collect()
+    sample = sorted((tuple(r) for r in rows if all(v == v for v in r)), key=lambda r: [(v is not None, v) if v is not None else (False,) for v in r])
+    step = max(1, len(sample) // RANGES)
+    for n in range(1, len(order) + 1):
+        bounds = sorted({r[:n] for r in sample[step::step]}, key=lambda r: [(v is not None, v) if v is not None else (False,) for v in r])
+        if len(bounds) > RANGES // 2:
+            break
+    out = F.lit(0)
+    for b in bounds if sample else []:
+        out = out + _after(keys[: len(b)], b).cast("int")
+    return out
 
 
 def with_position(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "pos") -> DataFrame:
-    """df with the position of each item from 1.  ``order``: columns, ascending, nulls first; the first should tell most rows apart."""
+    """df with the position of each item from 1.  ``order``: columns, ascending, nulls first; together they tell all rows apart."""
     if within:
         return df.withColumn(name, position(order, within))
-    kind = df.schema[order[0]].dataType
-    key = F.unix_micros(order[0]) if isinstance(kind, T.TimestampType) else F.col(order[0])
-    edge = F.lit(0)
-    for c in _cuts(df, key):
-        edge = edge + (key > F.lit(c)).cast("int")
-    ranged = df.withColumn("_range", F.coalesce(edge, F.lit(-1)))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    at, before = fresh(df, "_range"), fresh(df, "_before")
+    ranged = df.withColumn(at, _range_of(df, order))
+    counts = ranged.groupBy(at).agg(F.count(F.lit(1)).alias("_n"))
     # at most RANGES + 1 rows
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("_range", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*(F.col(o).asc_nulls_first() for o in order)))
-    return ranged.join(F.broadcast(counts), "_range").withColumn(name, (inside + F.col("_before")).cast("long")).drop("_range", "_before")
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(at, ahead.alias(before))
+    inside = F.row_number().over(Window.partitionBy(at).orderBy(*(F.col(o).asc_nulls_first() for o in order)))
+    return ranged.join(F.broadcast(counts), at).withColumn(name, (inside + F.col(before)).cast("long")).drop(at, before)
 
 
 def subsequence(df: DataFrame, order: list[str], start: float, length: float | None = None, within: list[str] | None = None) -> DataFrame:
     """Items from position start, at most length of them; bounds are rounded as the language does."""
     begin = math.floor(start + 0.5)
-    positioned = with_position(df, order, within, "_pos")
-    out = positioned.where(F.col("_pos") >= begin)
+    pos = fresh(df, "_pos")
+    out = with_position(df, order, within, pos).where(F.col(pos) >= begin)
     if length is not None:
-        out = out.where(F.col("_pos") < begin + math.floor(length + 0.5))
-    return out.drop("_pos")
+        out = out.where(F.col(pos) < begin + math.floor(length + 0.5))
+    return out.drop(pos)
 
 
 def head(df: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
@@ -82,7 +105,8 @@ def tail(df: DataFrame, order: list[str], within: list[str] | None = None) -> Da
 
 
 def remove(df: DataFrame, order: list[str], at: int, within: list[str] | None = None) -> DataFrame:
-    return with_position(df, order, within, "_pos").where(F.col("_pos") != at).drop("_pos")
+    pos = fresh(df, "_pos")
+    return with_position(df, order, within, pos).where(F.col(pos) != at).drop(pos)
 
 
 def insert_before(df: DataFrame, order: list[str], at: int, items: DataFrame) -> DataFrame:
@@ -109,31 +133,45 @@ def concatenated(*parts: DataFrame) -> DataFrame:
 
 
 def predicates(df: DataFrame, order: list[str], within: list[str] | None, *tests: Callable[[Column, Column], Column]) -> DataFrame:
-    """Chained predicates: each gets position and size in what its predecessors left, and positions are counted anew for each."""
+    """Chained predicates: each gets position and size in what its predecessors left, and positions are counted anew for each.
+
+    The size is worked out only for tests that read it.  Without ``within`` positions come range by range, the size from a count."""
+    pos, size = fresh(df, "_pos"), fresh(df, "_last")
     for test in tests:
-        window = Window.partitionBy(*(within or []))
-        df = df.withColumn("_pos", F.row_number().over(window.orderBy(*order)).cast("long")).withColumn("_last", F.count(F.lit(1)).over(window))
-        df = df.where(test(F.col("_pos"), F.col("_last"))).drop("_pos", "_last")
+        kept = test(F.col(pos), F.col(size))
+        sized = size in str(kept)
+        if within:
+            df = df.withColumn(pos, position(order, within))
+            df = df.withColumn(size, last(within)) if sized else df
+        else:
+            n = df.count() if sized else 0
+            df = with_position(df, order, None, pos)
+            df = df.withColumn(size, F.lit(n).cast("long")) if sized else df
+        df = df.where(kept).drop(pos, size)
     return df
 
 
+def _seen(df: DataFrame, order: list[str], within: list[str], test: Column, to: int, wanted: int) -> DataFrame:
+    seen = fresh(df, "_seen")
+    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, to)
+    return df.withColumn(seen, F.coalesce(F.max(test.cast("int")).over(w), F.lit(0))).where(F.col(seen) == wanted).drop(seen)
+
+
 def before_first(df: DataFrame, order: list[str], within: list[str], test: Column, inclusive: bool = False) -> DataFrame:
     """Items before the first that satisfies test, with it if inclusive."""
-    to = 0 if not inclusive else -1
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, to)
-    return df.withColumn("_seen", F.coalesce(F.max(test.cast("int")).over(w), F.lit(0))).where("_seen = 0").drop("_seen")
+    return _seen(df, order, within, test, -1 if inclusive else 0, 0)
 
 
 def from_first(df: DataFrame, order: list[str], within: list[str], test: Column, inclusive: bool = True) -> DataFrame:
     """Items from the first that satisfies test on, without it unless inclusive."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return df.withColumn("_seen", F.coalesce(F.max(test.cast("int")).over(w), F.lit(0))).where("_seen = 1").drop("_seen")
+    return _seen(df, order, within, test, 0 if inclusive else -1, 1)
 
 
 def members(df: DataFrame, array: str, item: str = "item", at: str = "at") -> DataFrame:
     """One row for each member of an array column, with its position from 1; empty and null arrays give none."""
     rest = [c for c in df.columns if c != array]
-    return df.select(*rest, F.posexplode(array).alias("_at", item)).withColumn(at, (F.col("_at") + 1).cast("long")).drop("_at")
+    place = fresh(df, "_at")
+    return df.select(*rest, F.posexplode(array).alias(place, item)).withColumn(at, (F.col(place) + 1).cast("long")).drop(place)
 
 
 def entries(df: DataFrame, mapping: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamina.operators.names import fresh
+
 
 def union(a: DataFrame, b: DataFrame, identity: list[str]) -> DataFrame:
     """Items of either, each once."""
@@ -24,10 +26,12 @@ def outermost(nodes: DataFrame, doc: str = "doc_id", pre: str = "pre", post: str
 
     In document order the nearest possible ancestor of a node is the one with the greatest end so far, so a running maximum decides."""
     w = Window.partitionBy(doc).orderBy(pre).rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn("_reach", F.max(post).over(w)).where(F.col("_reach").isNull() | (F.col("_reach") < F.col(post))).drop("_reach")
+    reach = fresh(nodes, "_reach")
+    return nodes.withColumn(reach, F.max(post).over(w)).where(F.col(reach).isNull() | (F.col(reach) < F.col(post))).drop(reach)
 
 
 def innermost(nodes: DataFrame, doc: str = "doc_id", pre: str = "pre", post: str = "post") -> DataFrame:
     """Nodes without a selected descendant: the next selected node in document order lies outside."""
     w = Window.partitionBy(doc).orderBy(pre)
-    return nodes.withColumn("_next", F.lead(post).over(w)).where(F.col("_next").isNull() | (F.col("_next") > F.col(post))).drop("_next")
+    after = fresh(nodes, "_next")
+    return nodes.withColumn(after, F.lead(post).over(w)).where(F.col(after).isNull() | (F.col(after) > F.col(post))).drop(after)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.operators.grouping import _needs_key
+from lamina.operators.names import fresh
 
 
 def accumulator(df: DataFrame, aggregate: Column, order: list[str], within: list[str], name: str = "acc", start: Column | None = None) -> DataFrame:
@@ -37,9 +38,10 @@ def number_any(df: DataFrame, match: Column, order: list[str], within: list[str]
     w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if start is None:
         return df.withColumn(name, F.sum(match.cast("int")).over(w).cast("long"))
-    marked = df.withColumn("_since", F.sum(start.cast("int")).over(w))
-    inner = Window.partitionBy(*within, "_since").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn(name, F.sum(match.cast("int")).over(inner).cast("long")).drop("_since")
+    since = fresh(df, "_since")
+    marked = df.withColumn(since, F.sum(start.cast("int")).over(w))
+    inner = Window.partitionBy(*within, since).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn(name, F.sum(match.cast("int")).over(inner).cast("long")).drop(since)
 
 
 def number_multiple(*levels: Column) -> Column:

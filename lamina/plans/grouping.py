@@ -37,7 +37,7 @@ def group_by_composite(t: Tables) -> DataFrame:
 @query("""select o_orderpriority as priority, count(*)::bigint as n, min(o_orderkey) as first_seen, row_number() over (order by min(o_orderkey))::bigint as rank from orders group by 1""")
 def group_by_first_seen(t: Tables) -> DataFrame:
     out = G.group_by(t.orders, {"priority": F.col("o_orderpriority")}, ["o_orderkey"], n=F.count(F.lit(1)))
-    return out.withColumn("rank", S.position(["first_seen"])).orderBy("first_seen")
+    return S.with_position(out, ["first_seen"], None, "rank").orderBy("first_seen")
 
 
 @query("""with w as (select distinct p_partkey, unnest(string_split(p_name, ' ')) as word from part) select word, count(*)::bigint as n, min(p_partkey) as first_seen from w group by 1""")
@@ -353,8 +353,7 @@ def iterate_emit_until_break(t: Tables) -> DataFrame:
 @query("""select c_custkey, row_number() over (order by c_mktsegment desc nulls last, c_acctbal asc nulls first, c_custkey)::bigint as pos from customer order by pos limit 25""")
 def sort_multi_key(t: Tables) -> DataFrame:
     keys = [SortKey(F.col("c_mktsegment"), descending=True), SortKey(F.col("c_acctbal"))]
-    order = [c for k in keys for c in k.columns()]
-    return top_k(t.customer, keys, ["c_custkey"], 25).withColumn("pos", S.position([*order, "c_custkey"])).select("c_custkey", "pos")
+    return numbered(top_k(t.customer, keys, ["c_custkey"], 25), keys, ["c_custkey"]).select("c_custkey", "pos")
 
 
 @query("""select p_name, row_number() over (order by p_name)::bigint as pos from (select distinct p_name from part)""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,6 +12,7 @@ from lamina.operators import joins as J
 from lamina.operators import nodes as X
 from lamina.operators import sets as U
 from lamina.plans.registry import Tables, query
+from lamina.session import shared_folder
 from lamina.sources import readers, sinks
 
 
@@ -173,8 +173,7 @@ def xinclude_expand(t: Tables) -> DataFrame:
 
 def _place(t: Tables, kind: str) -> str:
     """A new name in the shared folder."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-out-")
-    return f"{base.rstrip('/')}/lamina-{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/lamina-{kind}-{uuid.uuid4().hex}"
 
 
 @query("""select n_nationkey::bigint as "_key", n_name as name from nation""")

@@ -26,6 +26,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, of the session or the context.
+
+    Where it is unset, a local session gets a temporary one; a cluster's executors would write into their own disks, so that is refused."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        place = known.get() if known.isDefined() else None
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="lamina-shared-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """UTC time, adaptive execution and Arrow transfer; conf overrides."""
     builder = SparkSession.builder.master(master or os.environ.get("LAMINA_MASTER", "local[*]")).appName("lamina")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +35,19 @@ class Sources:
     def collection(self, uri: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
         """The rows of all registered documents, with ``_document`` as the place in the order of registration."""
         paths = self.collections[uri]
-        rows = xml(self.spark, paths, row_tag, schema).withColumn("_file", F.input_file_name())
+        rows = xml(self.spark, paths, row_tag, schema)
+        file = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
         place = F.lit(-1)
         for i, p in enumerate(paths):  # a path is a file or a folder of files
-            place = F.when(F.col("_file").contains("/" + p.rstrip("/").rsplit("/", 1)[-1]), i).otherwise(place)
-        return rows.withColumn("_document", place).drop("_file")
+            whole = self._whole(p)
+            place = F.when((file == whole) | file.startswith(whole + "/"), i).otherwise(place)
+        return rows.withColumn("_document", place)
+
+    def _whole(self, uri: str) -> str:
+        """A path with its file system, as Spark names files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(uri.rstrip("/"))
+        qualified = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(path)
+        return re.sub("^file:/+", "file:/", qualified.toUri().toString())
 
     def text(self, uri: str) -> DataFrame:
         """unparsed-text: one row with the whole text of each file."""

@@ -5,7 +5,6 @@ Rows of a key must reach the stream in order, across files; inside a micro-batch
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lamina.session import shared_folder
 from lamina.streaming.plan import classify
 
 
@@ -55,9 +55,8 @@ def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple,
 
 
 def shared_place(spark: SparkSession) -> str:
-    """A folder for a query's progress and results: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamina-stream-")
-    return f"{base.rstrip('/')}/lamina-stream-{uuid.uuid4().hex}"
+    """A folder for a query's progress and results, below the shared folder."""
+    return f"{shared_folder(spark)}/lamina-stream-{uuid.uuid4().hex}"
 
 
 def run_now(stream: DataFrame, mode: str = "append") -> DataFrame:
