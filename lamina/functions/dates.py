@@ -52,5 +52,20 @@ def day_time_duration(seconds: Column) -> Column:
     return F.concat(F.when(seconds < 0, "-").otherwise(""), F.when(text == "P", "PT0S").otherwise(text))
 
 
+def current_date() -> Column:
+    """current-date: the same for the whole of a query."""
+    return F.current_date()
+
+
+def current_datetime() -> Column:
+    """current-dateTime: the same for the whole of a query."""
+    return F.current_timestamp()
+
+
+def current_time() -> Column:
+    """current-time, as HH:mm:ss.ffffff."""
+    return F.date_format(F.current_timestamp(), "HH:mm:ss.SSSSSS")
+
+
 def seconds_between(a: Column, b: Column) -> Column:
     return F.unix_timestamp(a) - F.unix_timestamp(b)

@@ -25,6 +25,10 @@ class Functions:
     def original(self, name: str, arity: int) -> Callable[..., Column] | None:
         return self.parent.lookup(name, arity) if self.parent else None
 
+    def names(self) -> set[tuple[str, int]]:
+        """All names with their arities."""
+        return set(self.own) | (self.parent.names() if self.parent else set())
+
     def call(self, name: str, *args: Column) -> Column:
         f = self.lookup(name, len(args))
         if f is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +101,39 @@ def system_property(name: str) -> Column:
     return F.lit(PROPERTIES.get(name, ""))
 
 
+def available_properties() -> list[str]:
+    """available-system-properties."""
+    return sorted(PROPERTIES)
+
+
+def function_available(spark: SparkSession, name: str, functions=None, arity: int | None = None) -> bool:
+    """Whether a function of this engine's registry (of an arity, if given) or of Spark has the name."""
+    own = functions is not None and any(n == name and arity in (None, a) for n, a in functions.names())
+    return own or spark.catalog.functionExists(name.replace("-", "_"))
+
+
+def type_available(name: str) -> bool:
+    """Whether a name is a type that values can be cast to."""
+    try:
+        T._parse_datatype_string(f"c {name}")
+    except Exception:  # the parser's own error
+        return False
+    return True
+
+
+def element_available(name: str) -> bool:
+    """Whether an instruction of the language has an operator here."""
+    return name in INSTRUCTIONS
+
+
+#: Instructions with an operator, by their names in the language.
+INSTRUCTIONS = frozenset(
+    "accumulator analyze-string apply-imports apply-templates array assert attribute attribute-set call-template catch character-map choose comment copy copy-of element evaluate for-each for-each-group for-each-member "
+    "fork function if iterate key map map-entry merge message mode next-match number on-empty on-non-empty output package param perform-sort processing-instruction record result-document sequence sort source-document strip-space switch template "
+    "text try use-package value-of variable where-populated".split()
+)
+
+
 def path_pattern(pattern: str) -> str:
     """A path glob to a regular expression over paths like /a/b or /a/@x: names, * for one step, ** for any steps; a leading / anchors it."""
     anchored, steps = pattern.startswith("/"), pattern.strip("/").split("/")

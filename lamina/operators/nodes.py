@@ -181,3 +181,48 @@ def siblings(table: DataFrame) -> DataFrame:
     """Nodes with the value of the sibling before and after: windows instead of joins."""
     w = Window.partitionBy("doc_id", "parent_pre").orderBy("pre")
     return table.where("kind != 'attribute'").withColumn("before", F.lag("pre").over(w)).withColumn("after", F.lead("pre").over(w))
+
+
+def _nearest(table: DataFrame, marks: DataFrame, *by: str) -> DataFrame:
+    """(doc_id, pre, by.., value): for each element the value of the nearest mark on it or an ancestor.  marks: (doc_id, pre of an element, by.., value)."""
+    elements = table.where("kind = 'element'")
+    places = elements.join(marks.select("doc_id", "pre").distinct(), ["doc_id", "pre"], "left_semi")
+    pairs = axis(elements, places, "ancestor-or-self", by_context=True).select("doc_id", "pre", "context_pre")
+    found = pairs.join(marks, ["doc_id", "pre"]).groupBy("doc_id", "context_pre", *by).agg(F.max_by("value", "pre").alias("value"))
+    return found.select("doc_id", F.col("context_pre").alias("pre"), *by, "value")
+
+
+def _attributes(table: DataFrame, test: Column) -> DataFrame:
+    return table.where((F.col("kind") == "attribute") & test).select("doc_id", F.col("parent_pre").alias("pre"), "name", "value")
+
+
+def namespaces(table: DataFrame) -> DataFrame:
+    """The namespace axis: (doc_id, pre, prefix, uri) of the namespaces in scope of each element; the default one has the prefix ''.
+
+    A declaration hides those of its prefix above it, and one without a URI takes the prefix out of scope; xml is always there."""
+    marks = _attributes(table, (F.col("name") == "xmlns") | F.col("name").startswith("xmlns:")).select("doc_id", "pre", F.regexp_replace("name", "^xmlns:?", "").alias("prefix"), "value")
+    xml = table.where("kind = 'element'").select("doc_id", "pre", F.lit("xml").alias("prefix"), F.lit("http://www.w3.org/XML/1998/namespace").alias("value"))
+    return _nearest(table, marks, "prefix").where("value != ''").unionByName(xml).withColumnRenamed("value", "uri")
+
+
+def language(table: DataFrame) -> DataFrame:
+    """(doc_id, pre, value): the xml:lang in force at each element that has one."""
+    return _nearest(table, _attributes(table, F.col("name") == "xml:lang").drop("name"))
+
+
+def speaks(language: Column, wanted: str) -> Column:
+    """lang(): whether a language is the wanted one or a variety of it, whatever the case."""
+    return F.coalesce((F.lower(language) == wanted.lower()) | F.lower(language).startswith(wanted.lower() + "-"), F.lit(False))
+
+
+def base_uri(table: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, pre, base_uri) of elements: the nearest absolute xml:base, else the document's own; documents: (doc_id, uri)."""
+    near = _nearest(table, _attributes(table, F.col("name") == "xml:base").drop("name"))
+    out = table.where("kind = 'element'").select("doc_id", "pre").join(near, ["doc_id", "pre"], "left").join(documents, "doc_id", "left")
+    return out.select("doc_id", "pre", F.coalesce("value", "uri").alias("base_uri"))
+
+
+def nilled(table: DataFrame) -> DataFrame:
+    """Elements with xsi:nil true."""
+    marks = _attributes(table, F.col("name") == "xsi:nil").where(F.trim("value").isin("true", "1"))
+    return table.where("kind = 'element'").join(marks.select("doc_id", "pre"), ["doc_id", "pre"], "left_semi")

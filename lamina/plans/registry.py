@@ -34,4 +34,4 @@ def query(oracle: str | None = None) -> Callable:
     return keep
 
 
-from lamina.plans import grouping, navigation, projection, rules, scalars, streams  # noqa: E402, F401  they register themselves
+from lamina.plans import components, grouping, navigation, projection, rules, scalars, streams, trees  # noqa: E402, F401  they register themselves

@@ -28,6 +28,10 @@ class Sources:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
         return bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path))
 
+    def stream_available(self, uri: str) -> bool:
+        """stream-available: whether the path is there and a stream of files can read it, so no preloaded table."""
+        return uri not in self.preloaded and self.available(uri)
+
     def document(self, uri: str, row_tag: str, schema: T.StructType | str | None = None, **options: str) -> DataFrame:
         """Rows of an XML document: one for each element of the row tag, attributes as _name columns."""
         return self.preloaded[uri] if uri in self.preloaded else xml(self.spark, uri, row_tag, schema, **options)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from lamina.functions import strings
 from lamina.functions.atomize import text
+from lamina.operators.sequence import with_position
 
 #: HTML elements without an end tag.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -117,6 +118,18 @@ def result_documents(df: DataFrame, href: Column, content: Column, order: list[s
     return grouped.select("href", "n_items", F.array_join(F.transform("_all", lambda i: i["_c"]), separator).alias("content"))
 
 
+def result_parts(df: DataFrame, href: Column, content: Column, order: list[str], rows: int, separator: str = "") -> DataFrame:
+    """(href, part, n_items, content): each secondary result's text in ordered parts of at most so many items, so no task holds a whole result.
+
+    Joined by the separator in the order of their numbers, from 0, a result's parts are its text."""
+    items = df.select(href.alias("href"), *order, content.cast("string").alias("_c")).where(F.col("href").isNotNull())
+    placed = with_position(items, ["href", *order], None, "_p")
+    begins = F.broadcast(placed.groupBy("href").agg(F.min("_p").alias("_begin"))) if items.select("href").distinct().count() <= MAX_RESULTS else placed.groupBy("href").agg(F.min("_p").alias("_begin"))
+    parts = placed.join(begins, "href").withColumn("part", F.floor((F.col("_p") - F.col("_begin")) / rows).cast("long"))
+    grouped = parts.groupBy("href", "part").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_list(F.struct("_p", "_c"))).alias("_all"))
+    return grouped.select("href", "part", "n_items", F.array_join(F.transform("_all", lambda i: i["_c"]), separator).alias("content"))
+
+
 def write_results(df: DataFrame, path: str, href: str, limit: int = MAX_RESULTS, kind: str = "parquet") -> None:
     """A folder for each value of href; more than ``limit`` results are an error, as are names that leave the folder."""
     names = df.select(href).distinct().limit(limit + 1)

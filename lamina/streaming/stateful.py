@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lamina.session import shared_folder
-from lamina.streaming.plan import classify
+from lamina.streaming.analysis import checked
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,8 +28,7 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def watchers(stream: DataFrame, *aggregates: Column, within: list[str] | None = None) -> DataFrame:
     """Several running aggregates in one pass, whole or for each key."""
-    classify(["fork"], bool(within))
-    return stream.groupBy(*within).agg(*aggregates) if within else stream.agg(*aggregates)
+    return checked(stream.groupBy(*within).agg(*aggregates) if within else stream.agg(*aggregates))
 
 
 def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple, object], tuple[tuple, list[dict]]], start: tuple, state: str, out: str, held_open: Callable[[object, tuple], list[dict]] | None = None) -> DataFrame:
@@ -37,7 +36,7 @@ def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple,
 
     Serves accumulators, iteration with early exit (a state that no longer changes) and positional grouping (a row on each change of key).
     held_open: gets (key, state) after a key's rows of each micro-batch and gives rows too, for what only the end of the stream would emit."""
-    classify(["iterate"], True)
+    checked(stream)
     columns = [c.split()[0] for c in out.split(",")]
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,6 +53,35 @@ def folded(stream: DataFrame, key: str, order: list[str], step: Callable[[tuple,
     return stream.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def runs(stream: DataFrame, key: str, order: list[str], begins: Callable[[tuple, object], bool], mark: Callable[[object], tuple], start: tuple, state: str) -> DataFrame:
+    """Positional groups of each key's rows: (key, grp, n), also those still open, whose rows come again with each micro-batch; the longest counts.
+
+    begins: whether a row begins a group, from the state after the row before it; mark: what the state keeps of a row; start, state: the marks
+    before the first row, and their types."""
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(now: tuple, row) -> tuple[tuple, list[dict]]:
+        *marks, grp, n = now
+        if n and not begins(tuple(marks), row):
+            return (*mark(row), grp, n + 1), []
+        return (*mark(row), grp + 1, 1), ([{key: getattr(row, key), "grp": grp, "n": n}] if n else [])
+
+    def held_open(k, now: tuple) -> list[dict]:
+        return [{key: k, "grp": now[-2], "n": now[-1]}]
+
+    return folded(stream, key, order, step, (*start, 0, 0), f"{state}, grp long, n long", f"{key} {kind}, grp long, n long", held_open)
+
+
+def cancelled(stream: DataFrame, after: float = 0.0) -> dict[str, bool]:
+    """Starts the stream without a sink's output, stops it, and says whether it ran before and after."""
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{shared_place(stream.sparkSession)}/progress").start()
+    ran = query.isActive
+    if after:
+        query.awaitTermination(after)
+    query.stop()
+    return {"before": ran, "after": query.isActive}
+
+
 def shared_place(spark: SparkSession) -> str:
     """A folder for a query's progress and results, below the shared folder."""
     return f"{shared_folder(spark)}/lamina-stream-{uuid.uuid4().hex}"
