@@ -5,14 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.session import ship
+from lamina.session import shared_folder, ship
 
 #: At most so many rows or bytes reach a Python worker at once, whatever the session had.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -31,18 +30,6 @@ def bounded(spark: SparkSession) -> SparkSession:
     return ship(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which is set to a temporary one only where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = known.get() if known.isDefined() else None
-    if not place:
-        place = tempfile.mkdtemp(prefix="lamina-shared-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
 def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, read again.  Lost executors cost no recomputation.
 

@@ -9,8 +9,10 @@ middle gives its training position, and a range sort by position gives the order
 The stream runs over the source again and again until the target is reached: all documents once for each full pass, then those at the
 stream's start once more; the document at the very end gives only its first words.  So taken words equal the target, rounded to words.
 
-Prefix sums run in two levels, by (source, slice of the hash range) and then inside a slice, so no task holds a whole source.
-Null texts have size 0 and take nothing; a null source is a source of its own, last in order.
+Prefix sums run in two levels, by (source, slice of the hash range) and then inside a slice, so no task holds a whole source; there are as many slices as
+the number of rows asks for, and they change no result.  Targets are worked out on the driver for up to DRIVER_SOURCES sources, and for more in
+tables, by the same rounds.  Null texts have size 0 and take nothing; a null source is a source of its own, last in order.  Columns of documents
+may have any names.
 """
 
 from __future__ import annotations
@@ -20,8 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: SLICE_DIGITS: leading hex digits of a row's hash that name its slice, 4096 for each source.
-WEIGHTS, LIMIT, SLICE_DIGITS, MAX_SOURCES = (5.0, 2.0, 1.0), 3, 3, 200_000
+from lamina.llm.common import written
+from lamina.operators.sequence import with_position
+
+WEIGHTS, LIMIT = (5.0, 2.0, 1.0), 3
+#: Sources whose targets the driver works out; more are worked out in tables.
+DRIVER_SOURCES = 200_000
+#: Leading hex digits of a row's hash that name its slice: three, or as many as leave about so many rows in a slice of one source.
+LEAST_DIGITS, SLICE_ROWS = 3, 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -64,28 +72,51 @@ def order_hash() -> Column:
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
 
 
+KNOWN = "source string, source_size long, target double, _goal long, _slope double"
+
+
+def _known(totals: DataFrame, weights: tuple[float, ...], limit: int) -> DataFrame:
+    """(source, source_size, target, _goal, _slope) of sources with their sizes n."""
+    spark = totals.sparkSession
+    first = totals.limit(DRIVER_SOURCES + 1).collect()
+    if len(first) > DRIVER_SOURCES:
+        return many_targets(totals, weights, limit)
+    held = {r["source"]: int(r["n"]) for r in first}
+    by_source = targets(list(held.items()), weights, limit)
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    return F.broadcast(spark.createDataFrame([(s, held[s], by_source[s], math.floor(by_source[s] + 0.5), a) for s, a in zip(order, slopes(len(order)), strict=True)], KNOWN))
+
+
+def many_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """The same for any number of sources: every round of sharing is one aggregate over a table of sources, and writes the next one."""
+    ordered = with_position(totals.withColumn("_null", F.isnull("source").cast("int")), ["_null", "source"], None, "_at")
+    among = lambda values: F.element_at(F.array(*map(F.lit, values)), ((F.col("_at") - 1) % len(values) + 1).cast("int"))
+    rows = written(ordered.select("source", F.col("n").alias("source_size"), among(weights).alias("_w"), among(slopes(3)).alias("_slope"), F.lit(None).cast("double").alias("target")), "sources")
+    while True:
+        left, total = rows.agg(F.sum("source_size") - F.coalesce(F.sum("target"), F.lit(0.0)), F.sum(F.when(F.col("target").isNull(), F.col("_w")))).first()
+        if total is None:
+            break
+        share = F.lit(float(left)) * F.col("_w") / F.lit(float(total))
+        over = F.col("target").isNull() & (share > limit * F.col("source_size"))
+        if not rows.where(over).take(1):
+            rows = rows.withColumn("target", F.coalesce("target", share))
+            break
+        rows = written(rows.withColumn("target", F.when(over, limit * F.col("source_size").cast("double")).otherwise(F.col("target"))), "sources")
+    return rows.select("source", "source_size", "target", F.floor(F.col("target") + 0.5).alias("_goal"), "_slope")
+
+
 def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, whole: bool = False) -> DataFrame:
     """One row for each row of documents: doc_id, size, source_size, target, taken, position (null if nothing is taken), and what they come from.
 
     whole: the row itself goes along as a struct _row."""
-    spark = documents.sparkSession
     row = [F.struct(*documents.columns).alias("_row")] if whole else []
     kept = ["_row"] if whole else []
     sized = documents.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_hash().alias("_h"), *row)
-    sized = sized.withColumn("_slice", F.substring("_h", 1, SLICE_DIGITS))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(documents.count(), 1) / SLICE_ROWS, 16)))
+    sized = sized.withColumn("_slice", F.substring("_h", 1, digits))
     slices = sized.groupBy("source", "_slice").agg(F.sum("size").alias("_n"))
     slices = slices.withColumn("_before", F.sum("_n").over(Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: targets are worked out on the driver")
-    by_source = targets([(r["source"], int(r["n"])) for r in totals], weights, limit)
-    order = sorted(by_source, key=lambda s: (s is None, s or ""))
-    held = {r["source"]: int(r["n"]) for r in totals}
-    known = spark.createDataFrame(
-        [(s, held[s], by_source[s], math.floor(by_source[s] + 0.5), a) for s, a in zip(order, slopes(len(order)), strict=True)],
-        "source string, source_size long, target double, _goal long, _slope double",
-    )
-    known = F.broadcast(known)
+    known = _known(sized.groupBy("source").agg(F.sum("size").alias("n")), weights, limit)
     slices = slices.join(known, slices["source"].eqNullSafe(known["source"])).drop(known["source"])
     joined = sized.alias("d").join(slices.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d._slice") == F.col("s._slice")))
     joined = joined.select("d.doc_id", "d.size", "d._h", "d.source", "d._slice", F.coalesce("s._before", F.lit(0)).alias("_before"), "s.source_size", "s.target", "s._goal", "s._slope", *kept)

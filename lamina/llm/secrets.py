@@ -221,7 +221,8 @@ def _replaced(batch: pa.RecordBatch, columns: list, text_col: str, change: dict[
     mask = np.zeros(batch.num_rows, bool)
     mask[list(change)] = True
     columns[i] = pc.replace_with_mask(columns[i], pa.array(mask), pa.array([change[k] for k in sorted(change)], columns[i].type))
-    if (j := batch.schema.get_field_index("n_chars")) >= 0:
+    j = batch.schema.get_field_index("n_chars")
+    if j >= 0 and pa.types.is_integer(columns[j].type):
         columns[j] = pc.replace_with_mask(columns[j], pa.array(mask), pa.array([len(change[k]) for k in sorted(change)], columns[j].type))
     return columns
 
@@ -232,5 +233,5 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def redacted(documents: DataFrame) -> DataFrame:
-    """documents with every secret replaced; no row goes."""
+    """documents with every secret replaced; no row goes.  n_chars follows the text if it is a column of integers, else it stays."""
     return scanned(documents, redact=True).select(*documents.columns)

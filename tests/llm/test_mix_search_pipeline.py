@@ -73,6 +73,34 @@ def test_mix_limits_and_odd_rows(spark, odd, none):
     assert mixing.report(odd).count() == len(ODD)
 
 
+def test_targets_of_many_sources(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 50, 4000]), "en", rng.choice([None, *(f"s{k}" for k in range(300))]), 0) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = mixing.report(df).collect()
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 10)
+    got = mixing.report(df).collect()
+    assert [(r.doc_id, r.taken, r.position) for r in got] == [(r.doc_id, r.taken, r.position) for r in want]
+    assert np.allclose([r.target for r in got], [r.target for r in want])
+    check_mix(rows, got)
+
+
+def test_slices_change_no_result(spark, small, monkeypatch):
+    want = mixing.report(small).collect()
+    monkeypatch.setattr(mixing, "LEAST_DIGITS", 1)
+    assert mixing.report(small).collect() == want
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 0.001)
+    assert mixing.report(small).collect() == want
+
+
+def test_mix_of_clashing_columns(spark, odd):
+    wide = odd.withColumns({"size": F.lit("x"), "_row": F.lit(1), "_h": F.lit(2.0), "Target": F.lit(None).cast("string"), "_pass": F.lit(3)})
+    out = mixing.mixed(wide)
+    assert out.columns == wide.columns
+    assert all((r.size, r._row, r._h, r.Target, r._pass) == ("x", 1, 2.0, None, 3) for r in out.collect())
+    assert mixing.report(wide).count() == len(ODD)
+
+
 def test_demand_inverse(spark):
     t = spark.range(101).select((F.col("id") / 100).alias("t"))
     for a in (0.5, 0.0, -0.5):

@@ -155,6 +155,12 @@ def test_katz_of_odd_rows(odd, none):
     assert katz.report(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "struct<a:int>", "array<long>"])
+def test_redaction_leaves_other_columns_named_n_chars(spark, kind):
+    df = spark.createDataFrame([(1, "password=b7db7aa4a5fcc78305 here"), (2, None)], "doc_id long, text string").withColumn("n_chars", F.lit(None).cast(kind))
+    assert [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()] == ["password=[SECRET] here", None]
+
+
 def test_forest_learns():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 5))
