@@ -91,44 +91,63 @@ def test_bpe_decoded_text_takes_the_place_of_a_column(spark):
     assert [r.text for r in out.orderBy("doc_id").collect()] == [bpe.vocabulary()[262].decode(), ""]
 
 
-def katz_by_hand(rows):
+def good_turing(counts, k=5):
+    """Katz's discount as he has it: what a count r <= k is worth, else the count itself."""
+    n = Counter(counts.values())
+    top = (k + 1) * n[k + 1] / n[1] if n[1] else 0
+
+    def worth(r):
+        if r > k or not n[1]:
+            return r
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if top != 1 else -1
+        return r * (d if 0 < d < 1 else (r - 0.5) / r)
+
+    return worth
+
+
+def katz_by_hand(rows, order=2):
+    """The model over dictionaries of tuples, each probability by the definition."""
     docs = [(i, [*WORD.findall((t or "").encode().lower()), "</s>"]) for i, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % katz.FOLDS == 2 for i, _ in docs]
-    uni, pairs = Counter(), Counter()
+    grams = lambda w, n: [tuple(["<s>", *w][t : t + n]) for t in range(len(w) + 2 - n)]
+    counts = [Counter() for _ in range(order + 1)]
     for (_, w), h in zip(docs, held, strict=True):
         if not h:
-            uni.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-
-    def discount(counts):
-        d = katz.discounts([sum(c == r for c in counts.values()) for r in range(1, katz.K + 2)])
-        return lambda c: c * (d[c] if c <= katz.K else 1)
-
-    d1, d2 = discount(uni), discount(pairs)
-    mass = sum(d1(c) for c in uni.values())
+            counts[1].update((x,) for x in w)
+            for n in range(2, order + 1):
+                counts[n].update(grams(w, n))
+    worth = [None, *(good_turing(c) for c in counts[1:])]
+    n, v = sum(counts[1].values()), len(counts[1])
+    mass = sum(map(worth[1], counts[1].values()))
     total = n if mass < n else n + 1
-    unknown = 1 - mass / total if total else 1.0
-    p1 = lambda w: d1(uni[w]) / total if uni[w] else unknown
-    after = defaultdict(dict)
-    for (a, b), c in pairs.items():
-        after[a][b] = c
+    after = [defaultdict(dict) for _ in range(order + 1)]
+    for k in range(2, order + 1):
+        for g, c in counts[k].items():
+            after[k][g[:-1]][g[-1]] = c
     weights = {}
-    for a, f in after.items():
-        c, kept = sum(f.values()), sum(d2(x) for x in f.values())
-        below = c if kept < c * (1 - 1e-12) else c + 1
-        weights[a] = below, (1 - kept / below) / (1 - sum(map(p1, f)))
 
-    def p(a, b):
-        if a not in after:
-            return p1(b)
-        below, alpha = weights[a]
-        return d2(after[a][b]) / below if b in after[a] else alpha * p1(b)
+    def p(context, w):
+        if not context:
+            return worth[1](counts[1][(w,)]) / total if counts[1][(w,)] else (1 - mass / total if total else 1.0)
+        f = after[len(context) + 1].get(context)
+        if f is None:
+            return p(context[1:], w)
+        if context not in weights:
+            c, kept = sum(f.values()), sum(map(worth[len(context) + 1], f.values()))
+            below = c if kept < c * (1 - 1e-12) else c + 1
+            weights[context] = below, (1 - kept / below) / (1 - sum(p(context[1:], x) for x in f))
+        below, alpha = weights[context]
+        return worth[len(context) + 1](f[w]) / below if w in f else alpha * p(context[1:], w)
+
+    for k in range(2, order + 1):
+        for context in list(after[k])[:10]:
+            assert abs(sum(p(context, w) for (w,) in counts[1]) + p(context, "never seen") - 1) < 1e-9
+
+    def score(w):
+        own = ["<s>", *w]
+        return sum(math.log10(p(tuple(own[max(0, t + 2 - order) : t + 1]), w[t])) for t in range(len(w)))
 
-    for a in list(after)[:20]:
-        assert abs(sum(p(a, w) for w in uni) + p(a, "never seen") - 1) < 1e-9
-    score = lambda w: sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True))
-    return [(i, h, len(w), sum(uni[x] > 0 for x in w), n, sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), score(w)) for (i, w), h in zip(docs, held, strict=True)]
+    return [(i, h, len(w), sum(counts[1][(x,)] > 0 for x in w), n, sum(math.log10((counts[1][(x,)] + 1) / (n + v + 1)) for x in w), score(w)) for (i, w), h in zip(docs, held, strict=True)]
 
 
 def same_scores(got, want):
@@ -138,16 +157,55 @@ def same_scores(got, want):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-6)
 
 
-def test_katz_against_brute_force(small):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz_against_brute_force(small, order):
     rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
-    same_scores(katz.report(small).collect(), katz_by_hand(rows))
+    same_scores(katz.scored(small, order).collect(), katz_by_hand(rows, order))
 
 
-def test_katz_with_small_blocks_and_hot_contexts(small, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_with_small_blocks_and_hot_contexts(spark, small, monkeypatch, order):
     monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
-    monkeypatch.setattr(katz, "BUCKET_TOKENS", 60)
-    rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
-    same_scores(katz.report(small).collect(), katz_by_hand(rows))
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 60 if order == 2 else 600)
+    rows = [(r.doc_id, r.text) for r in small.select("doc_id", "text").orderBy("doc_id").limit(60).collect()]
+    same_scores(katz.scored(spark.createDataFrame(rows, "doc_id long, text string"), order).collect(), katz_by_hand(rows, order))
+
+
+def test_katz_order_reports_two(odd):
+    assert katz.report(odd).count() == len(ODD)
+    with pytest.raises(ValueError):
+        katz.scored(odd, 1)
+
+
+def test_katz_counts_beyond_32_bits():
+    """Two blocks that each saw a pair three billion times."""
+    many = 3_000_000_000
+    block = {"contexts": katz._bytes(np.array([7]), np.uint64), "runs": katz._bytes(np.array([2]), np.uint32), "words": katz._bytes(np.array([1 << 40, 5]), np.uint64), "counts": katz._bytes(np.array([many, 1]), np.uint64)}
+    first, words = (np.repeat(katz._numbers(block["contexts"], np.uint64), 2), katz._numbers(block["words"], np.uint64))
+    one, start, inverse = katz._distinct(np.concatenate([first, first]), np.concatenate([words, words]))
+    assert katz._totals(inverse, [katz._numbers(block["counts"], np.uint64)] * 2, len(one)).tolist() == [2, 2 * many]
+    assert start.tolist() == [0]
+    ids = katz._ids(np.array([2 * many, 0, 5]), 3, 1 << 33)
+    assert ids.tolist() == [3, int(katz.UNKNOWN_ID), (1 << 33) + 3]
+    assert katz._numbers(katz._bytes(ids, np.uint64), np.uint64).tolist() == ids.tolist()
+    words_ = katz.Words(2, 4 * many, [0] * 6)
+    assert words_.p(np.array([2 * many])).tolist() == [2 * many / (4 * many + 1)]
+
+
+def test_katz_table_of_ngrams(spark, small):
+    blocks = katz.written(katz.coded(small), "blocks")
+    model = katz.written(katz.word_model(katz.word_questions(blocks, 8), 8), "words")
+    known, tokens, *coc = (int(x or 0) for x in model.select(F.sum("known"), F.sum("tokens"), *(F.sum(F.col("coc")[r]) for r in range(6))).first())
+    full = katz.written(katz.enriched(blocks, model), "blocks")
+    pairs = katz.ngrams(katz.written(katz.gram_model(katz.questions(full, 8), katz.Words(known, tokens, coc), None, 8, False), "grams")).collect()
+    want = Counter()
+    for r in small.select("doc_id", "text").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % katz.FOLDS != 2:
+            w = [*WORD.findall((r.text or "").encode().lower()), "</s>"]
+            want.update(zip(["<s>", *w[:-1]], w, strict=True))
+    assert sorted(r["count"] for r in pairs) == sorted(want.values())
+    assert sum(r["count"] for r in pairs if r.context == -2) == sum(c for (a, _), c in want.items() if a == "<s>")
+    assert len({(r.context, r.word) for r in pairs}) == len(want)
 
 
 def test_katz_of_odd_rows(odd, none):
