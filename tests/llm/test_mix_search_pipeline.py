@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -235,5 +235,31 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(r.decoded_sha256 for r in out.collect()) == sorted(r.s for r in four.select(F.sha2("text", 256).alias("s")).collect())
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, long texts, clashing and extra columns, an empty table, through all stages."""
+    lines = " ".join(f"w{i}" for i in range(40))
+    more = [(20, lines, "en", "a", 1), (21, lines, None, None, None), (20, lines, "en", "a", 1), (None, lines + " more", "en", "b", 2), (22, f"{lines} password=b7db7aa4a5fcc78305 {lines[::-1]}", "en", "b", 3), (None, None, None, None, None)]
+    extra = {"size": F.lit("x"), "Row": F.lit(1), "_stats": F.lit(2.0), "ids": F.lit(None).cast("string"), "kept": F.lit(True), "n_tokens": F.lit("old"), "_nth": F.lit(0)}
+    docs = spark.createDataFrame([*ODD, *more], SCHEMA).withColumns(extra)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for part in "ab":
+        spark.createDataFrame([(20, 1, None), (None, 0, 1), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{part}/labels.parquet")
+    place, at = f"{tmp_path}/a", spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    stages = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, at = at, stage(spark, at, place)
+        stages[name] = before, at
+        assert name == "byte_bpe" or at.columns == docs.columns
+    texts = lambda name: Counter(r.text for r in stages[name][1].collect())
+    assert set(texts("quality_rules")) == {t for _, t, *_ in [*ODD, *more] if t and size(t) >= 10 and len(set(t.split())) > 5}
+    assert texts("near_dedup")[lines] + texts("near_dedup")[lines + " more"] == 1
+    assert all("b7db7aa4a5fcc78305" not in t for t in texts("secret_scan")) and sum(texts("secret_scan").values()) == sum(texts("near_dedup").values())
+    mixed = stages["curriculum_mix"][1].select(F.sha2("text", 256).alias("s")).collect()
+    out = corpus_pipeline.run(spark, place)
+    assert sorted(r.decoded_sha256 for r in out.collect()) == sorted(r.s for r in mixed)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 def test_near_copies_of_the_pipeline_default(spark):
     assert near_dup.one_of_each.__defaults__ == (5, 80)

@@ -1,6 +1,8 @@
 """Statistics, the additive model and the decision list."""
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -46,6 +48,138 @@ def test_rules_report(small, labels):
         assert o.kept == (not o.base_failed and o.rule == 0)
 
 
+def shares(text):
+    """The features by the definition, one text at a time."""
+    text = text or ""
+    words = WORD.findall(text)
+    n, chars, symbols, dup, repeat = base(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    letters = sum(c.isascii() and c.isalpha() for c in text)
+    per, count = max(n, 1), lambda test: sum(map(test, words))
+    return (
+        math.log1p(n), symbols / per, text.count("!") / per, sum("A" <= c <= "Z" for c in text) / max(letters, 1), sum("0" <= c <= "9" for c in text) / max(chars, 1), dup / max(len(lines), 1), repeat / per, len(set(words)) / per, chars / per,
+        count(lambda w: w[-1] in ".,;:?") / per, sum(a == b for a, b in zip(words, words[1:], strict=False)) / per, words.count("|") / per, n / max(len(lines), 1),
+    )
+
+
+def training_rows(documents, labels):
+    """(features, label) of the rows that may train, in the order that the sample has."""
+    ids = documents.join(labels, "doc_id").where("quality is not null").select("doc_id", "text", "quality", F.xxhash64("doc_id").alias("h")).collect()
+    rows = sorted((r.h, r.doc_id, shares(r.text), r.quality) for r in ids if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    return np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+
+
+def slow_rules(x, y, cuts=256):
+    """Sequential covering with every threshold tried by counting; lists of (feature, at least, threshold)."""
+    bad, n = y == 0, len(x)
+    prune, left, out = np.arange(n) % 3 == 2, np.ones(n, bool), []
+
+    def covered(rule):
+        hit = np.ones(n, bool)
+        for j, at_least, t in rule:
+            hit &= (x[:, j] >= t) if at_least else (x[:, j] <= t)
+        return hit
+
+    def grown(inside):
+        best, found = 1e-9, None
+        p0, n0 = int((inside & bad).sum()), int((inside & ~bad).sum())
+        for j in range(x.shape[1]):
+            values = sorted(x[inside, j])
+            steps = [i for i in range(1, len(values)) if values[i] > values[i - 1]]
+            if len(steps) > cuts:
+                steps = [steps[int(k)] for k in np.linspace(0, len(steps) - 1, cuts)]
+            for at_least in (False, True):
+                for i in steps:
+                    t = (values[i - 1] + values[i]) / 2
+                    hit = inside & ((x[:, j] >= values[i]) if at_least else (x[:, j] < values[i]))
+                    p, m = int((hit & bad).sum()), int(hit.sum())
+                    gain = p * (math.log2(p / m) - math.log2(p0 / (p0 + n0))) if p else -1.0
+                    if gain > best + 1e-9:
+                        best, found = gain, (j, at_least, t)
+        return found
+
+    while len(out) < 24 and (bad & left & ~prune).any():
+        rule = []
+        while len(rule) < 4 and (~bad & left & ~prune & covered(rule)).any() and (c := grown(left & ~prune & covered(rule))):
+            rule.append(c)
+        check = left & prune if (left & prune & bad).any() else left & ~prune
+
+        def score(r, check=check):
+            p, m = int((check & covered(r) & bad).sum()), int((check & covered(r) & ~bad).sum())
+            return (p - m) / (p + m) if p + m else -1.0
+
+        while len(rule) > 1 and score(rule[:-1]) >= score(rule):
+            rule.pop()
+        p, m = int((check & covered(rule) & bad).sum()), int((check & covered(rule) & ~bad).sum())
+        if not rule or p == 0 or p < 0.95 * (p + m) or (bad & left & covered(rule)).sum() < 2:
+            break
+        out.append(rule)
+        left &= ~covered(rule)
+    return out
+
+
+def test_verdicts_against_a_slow_learner(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rules = slow_rules(*training_rows(documents, marks))
+    assert rules
+    got = {r.doc_id: r for r in decision_list.report(documents, marks).collect()}
+    for r in documents.select("doc_id", "text").collect():
+        v, b = shares(r.text), base(r.text)
+        fired = any(all(v[j] >= t if at_least else v[j] <= t for j, at_least, t in rule) for rule in rules)
+        assert got[r.doc_id].kept == (not (b[0] < 10 or 100 * b[4] > 20 * b[0]) and not fired)
+
+
+def slow_tree(i, g, h, depth):
+    """Values by bin of a tree over the bins i, every cut tried by adding up both sides."""
+    total = lambda i: (sum(g[k] for k in i), sum(h[k] for k in i) + additive_model.L2)
+    worth = lambda i: total(i)[0] ** 2 / total(i)[1]
+    if depth and len(i) > 1:
+        gains = [worth(i[:k]) + worth(i[k:]) for k in range(1, len(i))]
+        k = gains.index(max(gains)) + 1
+        if gains[k - 1] > worth(i) + 1e-12:
+            return slow_tree(i[:k], g, h, depth - 1) | slow_tree(i[k:], g, h, depth - 1)
+    return {k: total(i)[0] / total(i)[1] for k in i}
+
+
+def test_trees_against_all_cuts():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 9, 20):
+        g, h = rng.normal(size=n), rng.random(n)
+        want = slow_tree(list(range(n)), g, h, 2)
+        assert np.allclose(additive_model._shallow_tree(g, h), [want[k] for k in range(n)])
+    for a, b in ((2, 2), (3, 5), (8, 8)):
+        g, h = rng.normal(size=(a, b)), rng.random((a, b))
+        best = (-1.0, None)
+        for i in range(1, a):
+            for j in range(1, b):
+                cells = [(slice(None, i), slice(None, j)), (slice(None, i), slice(j, None)), (slice(i, None), slice(None, j)), (slice(i, None), slice(j, None))]
+                gain = sum(g[c].sum() ** 2 / (h[c].sum() + additive_model.L2) for c in cells)
+                if gain > best[0] + 1e-12:
+                    table = np.empty((a, b))
+                    for c in cells:
+                        table[c] = g[c].sum() / (h[c].sum() + additive_model.L2)
+                    best = gain, table
+        gain, table = additive_model._quadrants(g, h)
+        assert np.allclose(table, best[1]) and abs(gain - (best[0] - g.sum() ** 2 / (h.sum() + additive_model.L2))) < 1e-9
+
+
+def test_scores_against_brute_force(spark):
+    """The report's scores, from features of one text after another, a model of the same rows, and its tables read cell by cell."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = additive_model.fit(*training_rows(documents, marks))
+    cell = lambda edges, v: sum(v >= e for e in edges)
+    got = {r.doc_id: r for r in additive_model.report(documents, marks).collect()}
+    for r in documents.select("doc_id", "text").collect():
+        v = shares(r.text)
+        z = model.intercept + sum(t[cell(e, v[j])] for j, (e, t) in enumerate(zip(model.edges, model.tables, strict=True)))
+        z += sum(t[cell(model.pair_edges[a], v[a]), cell(model.pair_edges[b], v[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+        o = got[r.doc_id]
+        assert abs(o.score - 1 / (1 + math.exp(-z))) < 1e-6
+        assert o.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and o.predicted == (o.score >= 0.7)
+
+
 def test_rules_learn_a_planted_conjunction():
     rng = np.random.default_rng(0)
     x = rng.random((3000, len(labelled.FEATURES)))
