@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality rules, near-dedup, secret redaction, mixing by a curriculum, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; ``run`` writes each one's rows as Parquet in the shared folder and reads them
-again, so a lost executor costs one stage's tasks at most.  Stages cannot be expressed in SQL (learned rules, sketches, forests, merges), so
+again, so a lost executor costs one stage's tasks at most; a stage's table goes once the next one is written.  Stages cannot be expressed in SQL (learned rules, sketches, forests, merges), so
 ``ORACLE_SQL`` is None; tests hold each against a brute-force version on a small table.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lamina.llm import bpe, decision_list, mixing, near_dup, secrets
-from lamina.llm.common import table, written
+from lamina.llm.common import deleted, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, own = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        deleted(spark, *own)
+        own = [docs]
     return docs
