@@ -41,11 +41,14 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
 
 
 def deleted(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables made by ``written`` that no later plan reads."""
+    """Deletes tables made by ``written`` that no later plan reads; tables that lie anywhere else stay."""
+    conf, new = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    whole = lambda p: p.getFileSystem(conf).makeQualified(p)
+    own = whole(new(f"{shared_folder(spark)}/lamina")).toString()
     for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
-        if "/lamina/" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        p = whole(new(path))
+        if p.getParent() is not None and p.getParent().toString() == own:
+            p.getFileSystem(conf).delete(p, True)
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:

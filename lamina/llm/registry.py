@@ -1,8 +1,7 @@
-"""The queries of the training-data operators, by key, and their SQL twins."""
+"""The queries of the training-data operators, by key, and their SQL twins; the pipeline of them is added where both are read."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lamina.llm import additive_model, bpe, chat, decision_list, katz, mixing, multi_index, near_dup, secrets, sentence_dedup
 from lamina.llm.common import table
 from lamina.llm.oracles import ORACLES
@@ -48,9 +47,5 @@ def op10_curriculum_mix(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentence_dedup, op3_byte_bpe, op4_multi_index, op5_katz_backoff, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentence_dedup, op3_byte_bpe, op4_multi_index, op5_katz_backoff, op6_secret_scan, op7_chat_format, op8_near_dup, op9_quality_rules, op10_curriculum_mix)}
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,5 +1,6 @@
 """Near-dedup and sentence dedup against brute force."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -222,3 +223,14 @@ def test_sentence_dedup_of_odd_rows(odd, none):
     assert len(rows) == len(ODD) and out.columns == [*odd.columns, "n_sentences", "row", "_Gone", "_n_sentences", "n_removed"]
     assert [r.text for r in rows if r.doc_id == 1] == [None]
     assert sentence_dedup.report(none).count() == 0
+
+
+def test_only_own_tables_are_deleted(spark, tmp_path):
+    from lamina.llm.common import deleted, written
+
+    other, own = f"{tmp_path}/lamina/documents.parquet", written(spark.range(3), "own")
+    spark.range(3).write.parquet(other)
+    path = own.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    deleted(spark, spark.read.parquet(other), own)
+    assert spark.read.parquet(other).count() == 3
+    assert not os.path.exists(path)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import __spark_entry__
 from lamina.llm.registry import ORACLES, QUERIES
 from tests.test_oracles import rows
 
@@ -24,4 +25,4 @@ def test_query(key, spark, folder):
 
 def test_registry_is_complete():
     assert [k for k in QUERIES if k.startswith("op")] == sorted((k for k in QUERIES if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11)) and "pipeline" in __spark_entry__.queries()
