@@ -93,6 +93,17 @@ def tokenize(c: Column, pattern: str | None = None, flags: str = "") -> Column:
     return F.when(_s(c) == "", F.array().cast("array<string>")).otherwise(F.split(_s(c), java_pattern(pattern, flags), -1))
 
 
+def token_count(c: Column, pattern: str | None = None, flags: str = "") -> Column:
+    """count(tokenize(..)) without making the tokens.  A pattern that matches nothing at all is no separator, so it is refused."""
+    if pattern is None:
+        return F.regexp_count(_s(c), F.lit(r"[^ \t\n\r]+")).cast("long")
+    if re.compile(pattern).fullmatch(""):
+        raise ValueError("a separator that matches the empty text")
+    plain = len(pattern) == 1 and pattern not in "\\.^$*+?{}[]|()" and not flags
+    cuts = F.length(_s(c)) - F.length(F.replace(_s(c), F.lit(pattern), F.lit(""))) if plain else F.regexp_count(_s(c), F.lit(java_pattern(pattern, flags)))
+    return F.when(_s(c) == "", 0).otherwise(cuts + 1).cast("long")
+
+
 def analyze_string(c: Column, pattern: str, flags: str = "") -> Column:
     """Parts in order as an array of (matched, text, groups): the matching and the other parts of the text.
 

@@ -44,7 +44,14 @@ def regex_analyze_string(t: Tables) -> DataFrame:
 @query(r"""select doc_id, len(regexp_extract_all(text, '[^ \t\n\r]+'))::bigint as n_words, len(string_split(text, chr(10)))::bigint as n_lines from documents""")
 def tokenize_count(t: Tables) -> DataFrame:
     c = F.col("text")
-    return t.documents.select("doc_id", F.size(S.tokenize(c)).cast("long").alias("n_words"), F.size(S.tokenize(c, "\n")).cast("long").alias("n_lines"))
+    return t.documents.select("doc_id", S.token_count(c).alias("n_words"), S.token_count(c, "\n").alias("n_lines"))
+
+
+@query(r"""select doc_id, list_aggregate(list_transform(regexp_extract_all(text, '[^ \t\n\r]+'), lambda w: length(w)), 'sum')::bigint as chars, len(string_split(text, chr(10)))::bigint as n_lines from documents""")
+def tokenize_lengths(t: Tables) -> DataFrame:
+    """The tokens themselves: how long they are together."""
+    words = S.tokenize(F.col("text"))
+    return t.documents.select("doc_id", F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("chars"), F.size(S.tokenize(F.col("text"), "\n")).cast("long").alias("n_lines"))
 
 
 @query("""select o_orderkey, year(o_orderdate)::bigint as y, month(o_orderdate)::bigint as m, day(o_orderdate)::bigint as d, strftime(o_orderdate, '%d/%m/%Y') as f, strftime(o_orderdate, '%A, %B') as names, week(o_orderdate)::bigint as w, isodow(o_orderdate)::bigint as dow from orders""")

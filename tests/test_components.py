@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina import session as session_module
-from lamina.functions import json_xml, numbers
+from lamina.functions import json_xml, numbers, strings
 from lamina.operators import grouping, joins, sequence, sets, sorting, windows
 from lamina.operators import templates as P
 from lamina.sources import readers, sinks
@@ -156,3 +156,13 @@ def test_collections_tell_paths_apart(spark, tmp_path):
         sinks.write(spark.range(1).select((F.col("id") + i).alias("_key")), p, sinks.Output("xml"), "r", "rs")
     sources.register_collection("c", paths)
     assert sorted((r._document, r._key) for r in sources.collection("c", "r", "_key long").collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_token_counts_are_the_tokens(spark):
+    df = spark.createDataFrame([(x,) for x in (None, "", " ", "a", " a  b\n\tc ", "a,b,,c,", "x.y.z", ",", "aXbxc")], "s string")
+    c = F.col("s")
+    for pattern, flags in ((None, ""), (",", ""), (".", "q"), (".", ""), ("|", "q"), (r"\s+", ""), ("x", "i"), ("[,.]", "")):
+        pairs = df.select(strings.token_count(c, pattern, flags).alias("a"), F.size(strings.tokenize(c, pattern, flags)).cast("long").alias("b")).collect()
+        assert all(r.a == r.b for r in pairs), (pattern, pairs)
+    with pytest.raises(ValueError):
+        strings.token_count(c, "a*")
