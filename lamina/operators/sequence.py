@@ -64,8 +64,12 @@ def _range_of(df: DataFrame, order: list[str]) -> Column:
             break
     out = F.lit(0)
     for b in bounds if sample else []:
-        out = out + _after(keys[: len(b)], b).cast("int")
-    return out
+        if n > 1:
+            out = out + _after(keys[:n], b).cast("int")
+        elif b[0] is not None:
+            out = out + (keys[0] > F.lit(b[0])).cast("int")
+    # nulls of a lone key compare with nothing
+    return out if n > 1 else F.coalesce(out, F.lit(-1))
 
 
 def with_position(df: DataFrame, order: list[str], within: list[str] | None = None, name: str = "pos") -> DataFrame:
