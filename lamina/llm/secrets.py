@@ -1,6 +1,6 @@
 """Secret scans: pattern candidates, then a random forest that removes false positives.
 
-Candidates are prefixed keys, private key blocks, values assigned to names such as ``password`` or ``token``, and long mixed strings with
+Candidates are prefixed keys, private key blocks with or without their end, values assigned to names such as ``password`` or ``token``, and long mixed strings with
 digits.  The forest looks at length, changes of character class, dictionary coverage, path shape and the words around, and is trained from
 labelled findings: by default those that ``labelled_findings`` makes from stated shapes of secrets and of look-alikes; a table of reviewed
 findings with the same columns takes its place.
@@ -32,7 +32,10 @@ from lamina.llm.text_stats import fresh
 #: Fixed formats of keys by issuer.
 PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}"
 NAMES = r"password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|credential|bearer"
-BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----))*-----END [A-Z ]*PRIVATE KEY-----"
+_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+#: A key whose end is missing goes on for lines of base64, after lines of headers; a short last line must not look like a word.
+_OPEN = r"(?:(?:\s|\\[nr])*+[A-Z][0-9A-Za-z-]*+: [^\n]*+)*+(?:\s|\\[nr])*+(?=[a-z]*+[0-9A-Z+/])[0-9A-Za-z+/=]{16,}+(?:(?:\s|\\[nr])++(?:[0-9A-Za-z+/=]{40,}+|(?=[A-Za-z]*+[0-9+/=])[0-9A-Za-z+/=]++))*+"
+BLOCK = rf"{_HEAD}(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|{_OPEN})"
 _ASSIGN = rf"(?i:{NAMES})[\"']?\s{{0,3}}(?:[:=]|\s)\s{{0,3}}(?P<quote>[\"']?)"
 _MIXED = r"(?<![0-9A-Za-z+/_=-])(?P<mixed>(?=[A-Za-z+/_=-]*+[0-9])[0-9A-Za-z+/_=-]{16,}+)"
 _PREFIXED = rf"\b(?P<prefixed>{PREFIXED})(?![0-9A-Za-z])"
