@@ -5,6 +5,9 @@ digits.  The forest looks at length, changes of character class, dictionary cove
 labelled findings: by default those that ``labelled_findings`` makes from stated shapes of secrets and of look-alikes; a table of reviewed
 findings with the same columns takes its place.
 
+The dictionary is COMMON and the corpus's own frequent words: whole words of letters that stand in at least WORD_DOCUMENTS documents, of them the
+DICTIONARY_WORDS that stand in most, counted over all documents.  A string with a digit or a sign gives no word, so secrets do not enter it.
+
 Values and mixed strings have no upper length.  A long one that the forest refuses as a whole is looked into, so it hides no secret inside it.
 
 A batch of texts first goes through one compiled search for what any candidate must hold; only texts that pass are scanned further.
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm import arrow_text as at
@@ -52,6 +56,9 @@ COLD_WORDS = frozenset("commit sha md5 sha1 sha256 checksum digest hash uuid gui
 COMMON = tuple(
     "the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use name user main test data file code list item type time page view form text date book home work road line view node path host port site mail info admin login example change your here value string number index table config server client service account customer default sample token password secret key access hello world welcome summer winter spring autumn monday friday".split()
 )
+#: How many words of the corpus the dictionary takes, in how many documents each must stand, and how long they are.
+DICTIONARY_WORDS, WORD_DOCUMENTS, WORD_LENGTHS = 20_000, 10, (4, 12)
+_DICTIONARY = frozenset(COMMON)
 FEATURES = ("length", "changes", "digit", "upper", "lower", "other", "entropy", "coverage", "slashes", "dots", "dashes", "hot_before", "cold_before", "assigned", "quoted", "hex", "digits_only", "uuid", "prefixed", "repeats")
 CUT, CONTEXT = 0.5, 48
 FINDING = T.StructType([T.StructField("begin", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False), T.StructField("kind", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
@@ -63,20 +70,25 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if "A" <= c <= "Z" else 2 if "a" <= c <= "z" else 3
 
 
-def _coverage(text: str) -> float:
+def _coverage(text: str, words: frozenset[str]) -> float:
     """The share of letters inside dictionary words, found greedily."""
     low, covered, i = text.lower(), 0, 0
     while i < len(low):
-        n = next((k for k in range(min(8, len(low) - i), 2, -1) if low[i : i + k] in _DICTIONARY), 0)
+        n = next((k for k in range(min(WORD_LENGTHS[1], len(low) - i), 2, -1) if low[i : i + k] in words), 0)
         covered += n
         i += n or 1
     return covered / max(1, sum(c.isalpha() for c in low))
 
 
-_DICTIONARY = frozenset(COMMON)
+def frequent_words(texts: DataFrame, text_col: str = "text") -> frozenset[str]:
+    """COMMON and the frequent words of the texts, in lower case; at most DICTIONARY_WORDS reach the driver, ties by code points."""
+    word = rf"(?<![^\x20\x09-\x0D])[a-z]{{{WORD_LENGTHS[0]},{WORD_LENGTHS[1]}}}(?=[.,;:!?]?(?:[\x20\x09-\x0D]|$))"
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(word), F.lit(0)))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_DOCUMENTS)
+    return _DICTIONARY | {r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()}
 
 
-def features(candidate: str, before: str, after: str) -> list[float]:
+def features(candidate: str, before: str, after: str, dictionary: frozenset[str] = _DICTIONARY) -> list[float]:
     """before, after: what surrounds the candidate, at most CONTEXT characters."""
     n = max(1, len(candidate))
     kinds = [_kind(c) for c in candidate]
@@ -85,19 +97,19 @@ def features(candidate: str, before: str, after: str) -> list[float]:
     near = before.lower().rstrip()
     words = re.findall(r"[a-z0-9]+", near)[-3:]
     return [
-        n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, *share, entropy, _coverage(candidate), candidate.count("/"), candidate.count("."), candidate.count("-"),
+        n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, *share, entropy, _coverage(candidate, dictionary), candidate.count("/"), candidate.count("."), candidate.count("-"),
         float(any(w in HOT_WORDS for w in words)), float(any(w in COLD_WORDS for w in words)), float(near[-1:] in (":", "=") or near[-2:-1] in (":", "=")), float(before[-1:] in ("'", '"')),
         float(re.fullmatch(r"[0-9a-fA-F]+", candidate) is not None), float(candidate.isdigit()), float(_UUID.fullmatch(candidate) is not None), float(re.match(PREFIXED, candidate) is not None),
         1 - len(set(candidate)) / n,
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 11) -> Iterable[tuple[str, str, str, int]]:
-    """n findings (candidate, before, after, label), half of them secrets, made from stated shapes."""
-    rng = random.Random(seed)
+def labelled_findings(n: int = 3000, seed: int = 11, dictionary: frozenset[str] = _DICTIONARY) -> Iterable[tuple[str, str, str, int]]:
+    """n findings (candidate, before, after, label), half of them secrets, made from stated shapes; look-alikes of words take the dictionary's."""
+    rng, rest = random.Random(seed), sorted(dictionary.difference(COMMON))
     hexa, upper, full = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     some = lambda of, k: "".join(rng.choice(of) for _ in range(k))
-    word = lambda: rng.choice(COMMON)
+    word = lambda: rng.choice(rest if rest and rng.random() < 0.5 else COMMON)
     prose = lambda: " ".join(some("etaoinshrdlucm", rng.randint(2, 9)) for _ in range(5)) + " "
     name = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_key", "bearer"])
     sign = lambda: rng.choice(["=", " = ", ": ", ":"])
@@ -146,14 +158,14 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> Iterable[tuple[str, str,
             yield found, before[-CONTEXT:], after[:CONTEXT], 0
 
 
-def trained(findings: Iterable[tuple[str, str, str, int]] | None = None) -> forest.Forest:
-    rows = list(labelled_findings() if findings is None else findings)
-    return forest.train(np.array([features(c, b, a) for c, b, a, _ in rows], float).reshape(-1, len(FEATURES)), np.array([r[3] for r in rows], float))
+def trained(findings: Iterable[tuple[str, str, str, int]] | None = None, dictionary: frozenset[str] = _DICTIONARY) -> forest.Forest:
+    rows = list(labelled_findings(dictionary=dictionary) if findings is None else findings)
+    return forest.train(np.array([features(c, b, a, dictionary) for c, b, a, _ in rows], float).reshape(-1, len(FEATURES)), np.array([r[3] for r in rows], float))
 
 
-@functools.lru_cache(maxsize=1)
-def default_forest() -> forest.Forest:
-    return trained()
+@functools.lru_cache(maxsize=8)
+def default_forest(dictionary: frozenset[str] = _DICTIONARY) -> forest.Forest:
+    return trained(dictionary=dictionary)
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -167,28 +179,31 @@ def _inside(text: str, begin: int, end: int, kind: str) -> list[tuple[int, int,
     return [s for s in spans if s[:2] != (begin, end)]
 
 
-def scan(texts: list[str], model: forest.Forest) -> list[list[tuple[int, int, str, float]]]:
+def scan(texts: list[str], model: forest.Forest, dictionary: frozenset[str] = _DICTIONARY) -> list[list[tuple[int, int, str, float]]]:
     """All candidates of each text with their scores; in place of a long refused one that holds others, those."""
-    found = _scored(texts, [candidates(t) for t in texts], model)
+    found = _scored(texts, [candidates(t) for t in texts], model, dictionary)
     while inner := {(i, b): more for i, of in enumerate(found) for b, e, kind, score in of if score < CUT and e - b > LONG and (more := _inside(texts[i], b, e, kind))}:
-        scored = dict(zip(inner, _scored([texts[i] for i, _ in inner], list(inner.values()), model), strict=True))
+        scored = dict(zip(inner, _scored([texts[i] for i, _ in inner], list(inner.values()), model, dictionary), strict=True))
         found = [[x for c in of for x in scored.get((i, c[0]), [c])] for i, of in enumerate(found)]
     return found
 
 
-def _scored(texts: list[str], found: list[list[tuple[int, int, str]]], model: forest.Forest) -> list[list[tuple[int, int, str, float]]]:
-    rows = [features(t[b:e], t[max(0, b - CONTEXT) : b], t[e : e + CONTEXT]) for t, of in zip(texts, found, strict=True) for b, e, _ in of]
+def _scored(texts: list[str], found: list[list[tuple[int, int, str]]], model: forest.Forest, dictionary: frozenset[str]) -> list[list[tuple[int, int, str, float]]]:
+    rows = [features(t[b:e], t[max(0, b - CONTEXT) : b], t[e : e + CONTEXT], dictionary) for t, of in zip(texts, found, strict=True) for b, e, _ in of]
     scores = iter(model.score(np.array(rows, float).reshape(-1, len(FEATURES))))
     return [[(b, e, kind, max(float(next(scores)), float(kind == "block"))) for b, e, kind in of] for of in found]
 
 
-def scanned(docs: DataFrame, model: forest.Forest | None = None, text_col: str = "text", redact: bool = False) -> DataFrame:
+def scanned(docs: DataFrame, model: forest.Forest | None = None, text_col: str = "text", redact: bool = False, dictionary: frozenset[str] | None = None) -> DataFrame:
     """docs with two more columns: the number of candidates, and the findings kept as (begin, end, kind, score) in code points, in order.
 
+    model, dictionary: a forest and the words that it was trained with; without a forest the texts' own frequent words train one.
     redact: each finding's text becomes ``[SECRET]`` in the text column, and a column n_chars follows the new length.
     Null texts stay null and have no candidates."""
     bounded(docs.sparkSession)
-    model = model or default_forest()
+    if dictionary is None:
+        dictionary = _DICTIONARY if model else frequent_words(docs, text_col)
+    model = model or default_forest(dictionary)
     n_name, f_name = fresh(docs, "n_candidates"), fresh(docs, "findings")
     schema = T.StructType([*docs.schema.fields, T.StructField(n_name, T.LongType(), False), T.StructField(f_name, T.ArrayType(FINDING, False), False)])
 
@@ -199,7 +214,7 @@ def scanned(docs: DataFrame, model: forest.Forest | None = None, text_col: str =
             some = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, MAY_HOLD)))
             held = texts.take(pa.array(some)).to_pylist()
             n, kept = np.zeros(len(texts), np.int64), [[] for _ in range(len(texts))]
-            for i, of in zip(some, scan(held, model), strict=True):
+            for i, of in zip(some, scan(held, model, dictionary), strict=True):
                 n[i] = len(of)
                 kept[i] = [{"begin": b, "end": e, "kind": k, "score": s} for b, e, k, s in of if s >= CUT]
             columns = list(batch.columns)

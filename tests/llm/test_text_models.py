@@ -1,6 +1,7 @@
 """BPE, Katz backoff, secrets and chat formatting."""
 
 import base64
+import collections
 import hashlib
 import math
 import random
@@ -234,6 +235,21 @@ def test_secrets_held_out_accuracy():
     assert ((secrets.default_forest().score(x) >= secrets.CUT) == np.array([r[3] for r in found])).mean() > 0.98
 
 
+def test_dictionary_of_frequent_words(spark):
+    texts = [f"Plain zyxword, word{i} b7db7a zyxtoken7 once{chr(97 + i)}{chr(98 + i)}. abc zyxend" for i in range(12)] + ["rareword rareword " * 9, None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secrets.frequent_words(df) - frozenset(secrets.COMMON) == {"plain", "zyxword", "zyxend"}
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = secrets.frequent_words(documents)
+    own = [r.text for r in documents.collect() if r.text]
+    word = re.compile(r"(?<!\S)[a-z]{4,12}(?=[.,;:!?]?(?:\s|\Z))", re.A)
+    counts = collections.Counter(w for t in own for w in set(word.findall(t.lower())))
+    assert words == frozenset(secrets.COMMON) | {w for w, n in counts.items() if n >= secrets.WORD_DOCUMENTS}
+    found = list(secrets.labelled_findings(1500, seed=5, dictionary=words))
+    x = np.array([secrets.features(*r[:3], words) for r in found])
+    assert ((secrets.default_forest(words).score(x) >= secrets.CUT) == np.array([r[3] for r in found])).mean() > 0.98
+
+
 def test_secrets_planted_in_documents(spark):
     """Recall and precision on a whole table: every planted shape is found, and nothing else is."""
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
