@@ -5,8 +5,9 @@ digits.  The forest looks at length, changes of character class, dictionary cove
 labelled findings: by default those that ``labelled_findings`` makes from stated shapes of secrets and of look-alikes; a table of reviewed
 findings with the same columns takes its place.
 
-The dictionary is COMMON and the corpus's own frequent words: whole words of letters that stand in at least WORD_DOCUMENTS documents, of them the
-DICTIONARY_WORDS that stand in most, counted over all documents.  A string with a digit or a sign gives no word, so secrets do not enter it.
+The dictionary is COMMON and the corpus's own frequent words: whole words of letters that stand in at least WORD_DOCUMENTS documents, counted over
+all documents; if they are more than DICTIONARY_WORDS, those above the lowest number of documents (in steps of a sixteenth of an octave) that leaves
+no more.  A string with a digit or a sign gives no word, so secrets do not enter it.
 
 Values and mixed strings have no upper length.  A long one that the forest refuses as a whole is looked into, so it hides no secret inside it.
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from lamina.llm import arrow_text as at
 from lamina.llm import forest
-from lamina.llm.common import bounded
+from lamina.llm.common import bounded, deleted, written
 from lamina.llm.text_stats import fresh
 
 #: Fixed formats of keys by issuer.
@@ -81,11 +82,20 @@ def _coverage(text: str, words: frozenset[str]) -> float:
 
 
 def frequent_words(texts: DataFrame, text_col: str = "text") -> frozenset[str]:
-    """COMMON and the frequent words of the texts, in lower case; at most DICTIONARY_WORDS reach the driver, ties by code points."""
+    """COMMON and the frequent words of the texts, in lower case; at most DICTIONARY_WORDS and a thousand counts of words reach the driver."""
     word = rf"(?<![^\x20\x09-\x0D])[a-z]{{{WORD_LENGTHS[0]},{WORD_LENGTHS[1]}}}(?=[.,;:!?]?(?:[\x20\x09-\x0D]|$))"
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(word), F.lit(0)))).alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_DOCUMENTS)
-    return _DICTIONARY | {r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()}
+    counts = written(counts.select("word", F.floor(16 * F.log2("n")).cast("int").alias("step")), "words")
+    floor, total = 0, 0
+    for step, n in sorted(((r["step"], r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+        if total + n > DICTIONARY_WORDS:
+            floor = step + 1
+            break
+        total += n
+    found = _DICTIONARY | {r["word"] for r in counts.where(F.col("step") >= floor).select("word").collect()}
+    deleted(texts.sparkSession, counts)
+    return found
 
 
 def features(candidate: str, before: str, after: str, dictionary: frozenset[str] = _DICTIONARY) -> list[float]:

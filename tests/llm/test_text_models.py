@@ -235,10 +235,13 @@ def test_secrets_held_out_accuracy():
     assert ((secrets.default_forest().score(x) >= secrets.CUT) == np.array([r[3] for r in found])).mean() > 0.98
 
 
-def test_dictionary_of_frequent_words(spark):
+def test_dictionary_of_frequent_words(spark, monkeypatch):
     texts = [f"Plain zyxword, word{i} b7db7a zyxtoken7 once{chr(97 + i)}{chr(98 + i)}. abc zyxend" for i in range(12)] + ["rareword rareword " * 9, None, ""]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert secrets.frequent_words(df) - frozenset(secrets.COMMON) == {"plain", "zyxword", "zyxend"}
+    monkeypatch.setattr(secrets, "DICTIONARY_WORDS", 2)
+    assert secrets.frequent_words(df.unionByName(spark.createDataFrame([("zyxend",)] * 9, "text string"))) - frozenset(secrets.COMMON) == {"zyxend"}
+    monkeypatch.undo()
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     words = secrets.frequent_words(documents)
     own = [r.text for r in documents.collect() if r.text]
