@@ -1,7 +1,8 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, grouping by union-find.
 
-1. One narrow pass over the texts gives each row its set size, a 64-bit name of its shingle set, band keys and a short signature.
-2. Rows with one set are one class, so a thousand copies weigh as much as one text from here on.
+1. One narrow pass over the texts gives each row its set size, a 128-bit name of its shingle set, band keys and a short signature.
+2. Rows with one set are one class, so a thousand copies weigh as much as one text from here on.  Half of the name, the node, stands for it;
+   sets that share a node but not the other half get nodes of their own first.
 3. Classes that share a band key are candidates.  In each bucket the class with the most company over all its buckets is the pivot,
    and every other member is checked against it alone: as many checks as members.
 4. Where a bucket still holds two components, its other members are compared inside tasks, block against block: by signature first, then on
@@ -10,7 +11,8 @@
 5. Links are contracted to components in tables; a class hands its component to all its rows.
 
 No bucket is cut, no pair is dropped for a size, and no task holds more than two blocks of a bucket.  At a Jaccard similarity equal to the
-threshold the bands miss a pair with probability under 0.0001; every link that is made is exact up to 64-bit hashes of shingles.
+threshold the bands miss a pair with probability under 0.0001; every link that is made is exact up to 64-bit hashes of
+shingles, of which a chance match in one pair moves its count by one.
 
 Null and empty texts, and texts without words, have the empty set and link with nothing.  In ``report`` rows that repeat a doc_id are one
 document for links made by any of them, and a row without doc_id takes part through classes that also hold an id; its component is null
@@ -37,19 +39,24 @@ BLOCK, BLOCK_BYTES, MARGIN = 4096, 8 << 20, 0.15
 _U64 = np.uint64
 
 
-def _name(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set that does not depend on order."""
-    total = np.concatenate([np.zeros(1, _U64), np.cumsum(at.mix(elements ^ _U64(0x5851F42D4C957F2D)), dtype=_U64)])
+#: What elements are mixed with for the two halves of a set's name.
+_HALVES = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+
+
+def _name(elements: np.ndarray, offsets: np.ndarray, half: int = 0) -> np.ndarray:
+    """64 of the 128 bits of each set's name, which does not depend on order."""
+    total = np.concatenate([np.zeros(1, _U64), np.cumsum(at.mix(elements ^ _U64(_HALVES[half])), dtype=_U64)])
     return at.mix((total[offsets[1:]] - total[offsets[:-1]]) ^ at.mix(np.diff(offsets).astype(_U64)))
 
 
 def _row() -> Column:
-    """A 64-bit name of a row by its doc_id, null or not, and its text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """A 128-bit name of a row by its doc_id, null or not, and its text."""
+    text = F.col("text").cast("string")
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.when(text.isNull(), F.lit("-")).otherwise(F.lit(":")), F.coalesce(text, F.lit("")))))
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, row (its name), n_shingles, node (the set's name; null if it is empty), keys (of its bands), sig (two bytes for each slot)."""
+    """doc_id, row (its name), n_shingles, node and other (the halves of the set's name; node is null if it is empty), keys (of its bands), sig (two bytes for each slot)."""
     bounded(docs.sparkSession)
     slots = BANDS * ROWS
 
@@ -64,26 +71,35 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             flat = pa.array(keys.reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(size), pa.array(_name(elements, offsets).view(np.int64), mask=~some), lists, pa.array([r.tobytes() for r in short], pa.binary())],
-                names=["doc_id", "row", "n_shingles", "node", "keys", "sig"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(size), pa.array(_name(elements, offsets).view(np.int64), mask=~some), pa.array(_name(elements, offsets, 1).view(np.int64)), lists, pa.array([r.tobytes() for r in short], pa.binary())],
+                names=["doc_id", "row", "n_shingles", "node", "other", "keys", "sig"],
             )
         trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), _row().alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, n_shingles long, node long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), _row().alias("row"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row binary, n_shingles long, node long, other long, keys array<long>, sig binary")
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """The signed rows; sets that share a node and differ in the other half of their names get nodes by both halves."""
+    while (clashes := rows.where("node is not null").groupBy("node").agg(F.min("other").alias("_a"), F.max("other").alias("_b")).where("_a != _b")).take(1):
+        own = F.when(F.col("_a").isNotNull(), F.xxhash64("node", "other")).otherwise(F.col("node"))
+        old, rows = rows, written(rows.join(clashes, "node", "left").withColumn("node", own).select(*rows.columns), "signatures")
+        deleted(rows.sparkSession, old)
+    return rows
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(node, elements) for the wanted (node, row): sorted shingle hashes as bytes."""
+    """(node, elements) for the wanted (node, other, row): sorted shingle hashes as bytes."""
 
     def run(batches):
         for batch in batches:
             elements, offsets = at.shingle_sets(at.column(batch, "text"), k)
-            right = np.flatnonzero(_name(elements, offsets).view(np.int64) == np.asarray(batch.column("node")))
+            right = np.flatnonzero(_name(elements, offsets, 1).view(np.int64) == np.asarray(batch.column("other")))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(right)), pa.array([elements[offsets[i] : offsets[i + 1]].tobytes() for i in right], pa.binary())], names=["node", "elements"])
         trimmed()
 
     wanted = bounded_broadcast(nodes, nodes.count())
-    found = docs.select(_row().alias("row"), "text").join(wanted, "row").select("node", "text")
+    found = docs.select(_row().alias("row"), "text").join(wanted, "row").select("node", "other", "text")
     return found.mapInArrow(run, "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
 
 
@@ -173,7 +189,7 @@ def _labelled(documents: DataFrame, k: int, percent: int, by_id: bool) -> tuple[
     by_id: rows that share a doc_id are linked, and nodes without any doc_id are not."""
     spark = documents.sparkSession
     held = "node is not null and doc_id is not null" if by_id else "node is not null"
-    rows = written(signed(documents, k), "signatures")
+    rows = told_apart(written(signed(documents, k), "signatures"))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"))
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     buckets = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -183,7 +199,7 @@ def _labelled(documents: DataFrame, k: int, percent: int, by_id: bool) -> tuple[
     ranked = members.join(company, "node").select("key", "node", F.struct("company", "node").alias("rank"))
     pivots = ranked.groupBy("key").agg(F.max("rank")["node"].alias("pivot"))
     unranked, members = members, written(members.join(pivots, "key").select("key", "node", "pivot"), "members")
-    wanted = rows.where(held).groupBy("node").agg(_first()["row"].alias("row")).join(members.select("node").distinct(), "node", "left_semi")
+    wanted = rows.where(held).groupBy("node").agg(F.first("other").alias("other"), _first()["row"].alias("row")).join(members.select("node").distinct(), "node", "left_semi")
     sets = written(full_sets(documents, wanted, k), "sets")
     stars = members.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = linked = written(verified(stars, sets, percent), "links")

@@ -89,6 +89,13 @@ def test_one_of_each_without_ids_and_with_repeated_ids(spark):
     assert sum(r.text in (d, " ".join(near)) for r in kept) == 1
 
 
+def test_sets_that_share_half_a_name_are_told_apart(spark, small, monkeypatch):
+    rows = lambda: (sorted(map(tuple, near_dup.report(small).collect())), sorted(map(str, near_dup.one_of_each(small).collect())))
+    want, whole = rows(), near_dup.signed
+    monkeypatch.setattr(near_dup, "signed", lambda docs, k: whole(docs, k).withColumn("node", F.col("node") % 7))
+    assert rows() == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
